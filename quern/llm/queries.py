@@ -19,6 +19,18 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.repair import read_ids, write_ids
+
+    return read_ids(write_ids(table(spark, sf_dir, "documents")))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.exact_dedup import exact_dedup
 
@@ -28,6 +40,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_media_columns": op1_media_columns,
+        "op2_packing": op2_packing,
+        "op8_token_ids": op8_token_ids,
         "op9_exact_dedup": op9_exact_dedup,
     }
 
