@@ -25,6 +25,18 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.token_count import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.spm import sentencepiece_digests
+
+    return sentencepiece_digests(table(spark, sf_dir, "documents"))
+
+
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.repair import read_ids, write_ids
 
@@ -41,6 +53,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_media_columns": op1_media_columns,
         "op2_packing": op2_packing,
+        "op3_token_counts": op3_token_counts,
+        "op5_sentencepiece": op5_sentencepiece,
         "op8_token_ids": op8_token_ids,
         "op9_exact_dedup": op9_exact_dedup,
     }
