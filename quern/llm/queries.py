@@ -37,6 +37,12 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_digests(table(spark, sf_dir, "documents"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.repair import read_ids, write_ids
 
@@ -55,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_packing": op2_packing,
         "op3_token_counts": op3_token_counts,
         "op5_sentencepiece": op5_sentencepiece,
+        "op7_simhash": op7_simhash,
         "op8_token_ids": op8_token_ids,
         "op9_exact_dedup": op9_exact_dedup,
     }
