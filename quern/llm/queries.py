@@ -31,12 +31,24 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.langid import identify_language
+
+    return identify_language(table(spark, sf_dir, "documents"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.spm import sentencepiece_digests
 
     return sentencepiece_digests(table(spark, sf_dir, "documents"))
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.html import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.simhash import near_duplicates
 
@@ -55,15 +67,24 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_media_columns": op1_media_columns,
         "op2_packing": op2_packing,
         "op3_token_counts": op3_token_counts,
+        "op4_language": op4_language,
         "op5_sentencepiece": op5_sentencepiece,
+        "op6_main_text": op6_main_text,
         "op7_simhash": op7_simhash,
         "op8_token_ids": op8_token_ids,
         "op9_exact_dedup": op9_exact_dedup,
+        "op10_quality": op10_quality,
     }
 
 
