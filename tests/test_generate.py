@@ -1,0 +1,13 @@
+from quern.sources.generate import CATEGORIES, REGIONS, prices, sales
+
+
+def test_sales(spark):
+    rows = sales(spark, 5000).collect()
+    assert [r["id"] for r in rows] == list(range(5000))
+    assert {r["category"] for r in rows} == set(CATEGORIES) and {r["region"] for r in rows} == set(REGIONS)
+    assert min(r["value"] for r in rows) >= 1 and max(r["value"] for r in rows) <= 999
+
+
+def test_prices(spark):
+    rows = prices(spark, 250).collect()
+    assert tuple(rows[0]) == (0, 0, "0.00", "cat_0") and tuple(rows[203]) == (203, 2030, "304.50", "cat_3")

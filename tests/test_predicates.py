@@ -1,0 +1,77 @@
+import math
+
+import pytest
+
+from quern.errors import MissingColumnError, QueryError
+from quern.functions.predicates import Predicate, between, equals, float_value, greater_than, int_value, less_than, str_value
+from quern.sources.tables import from_dataframe
+
+
+@pytest.fixture(scope="module")
+def table(spark):
+    rows = [(k, float(k), "abcdefgh"[k]) for k in range(8)] + [(None, math.nan, None), (-5, None, ""), (9, math.inf, "Z")]
+    return from_dataframe(spark.createDataFrame(rows, "v bigint, x double, k string").repartition(4).sortWithinPartitions("v").cache())
+
+
+def matches(table, column, predicate):
+    """Values of the rows that match, by the positions that the filter gives."""
+    rows = table.indexed().join(table.filter(column, predicate), "row_index").select(column).collect()
+    return sorted(r[0] for r in rows)
+
+
+@pytest.mark.parametrize(
+    ("column", "predicate", "want"),
+    [
+        ("v", equals(3), [3]),
+        ("v", greater_than(5), [6, 7, 9]),
+        ("v", less_than(1), [-5, 0]),
+        ("v", between(2, 5), [2, 3, 4, 5]),
+        ("x", equals(3), [3.0]),
+        ("x", greater_than(5.5), [6.0, 7.0, math.inf]),
+        ("x", less_than(1), [0.0]),
+        ("x", between(2, 5), [2.0, 3.0, 4.0, 5.0]),
+        ("x", less_than(math.inf), [float(k) for k in range(8)]),
+        ("k", equals("c"), ["c"]),
+        ("k", greater_than("f"), ["g", "h"]),
+        ("k", less_than("a"), ["", "Z"]),
+        ("k", between("a", "b"), ["a", "b"]),
+        ("x", equals(int_value(1)), []),
+        ("v", equals(float_value(1)), []),
+        ("v", greater_than(0.5), []),
+        ("v", equals("3"), []),
+        ("x", equals(float_value(math.nan)), []),
+        ("x", less_than(math.nan), []),
+        ("x", between(0.0, math.nan), []),
+        ("v", between(5, 2), []),
+    ],
+)
+def test_matches(table, column, predicate, want):
+    assert matches(table, column, predicate) == want
+
+
+def test_errors(table):
+    with pytest.raises(QueryError, match="not supported"):
+        table.filter("k", equals(1))
+    with pytest.raises(QueryError, match="not supported"):
+        table.filter("k", between(str_value("a"), int_value(2)))
+    with pytest.raises(MissingColumnError):
+        table.filter("nope", equals(1))
+    with pytest.raises(QueryError):
+        table.filter("v", equals(1 << 63))
+    with pytest.raises(QueryError):
+        table.filter("v", equals(True))
+    with pytest.raises(QueryError):
+        Predicate("~", (1,))
+    with pytest.raises(QueryError):
+        Predicate("between", (1,))
+
+
+def test_pushed_to_the_scan(spark, tmp_path):
+    from quern.sources.tables import from_parquet
+
+    spark.range(100).selectExpr("cast(id as int) as a", "cast(id as double) as b", "id as c").write.parquet(f"{tmp_path}/t")
+    query = from_parquet(spark, f"{tmp_path}/t").query().where("b", greater_than(90.0)).where("a", less_than(95)).aggregate("b", "sum")
+    plan = query.to_df()._jdf.queryExecution().toString()
+    assert "GreaterThan(b,90.0)" in plan and "LessThan(a,95)" in plan
+    assert "ReadSchema: struct<a:int,b:double>" in plan
+    assert query.execute().value == 91 + 92 + 93 + 94

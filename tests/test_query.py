@@ -1,0 +1,171 @@
+import math
+
+import pytest
+
+from quern.errors import EmptyInputError, MissingColumnError, QueryError
+from quern.functions.aggregates import AggOp
+from quern.functions.predicates import between, equals, greater_than
+from quern.operators.cache import ResultCache
+from quern.sources.tables import from_dataframe, from_parquet
+
+SALES = [
+    ("2024-01-15", "US", "A", 100, 2, 50.0),
+    ("2024-03-01", "US", "A", 200, 3, 66.5),
+    ("2024-06-30", "EU", "B", 150, 1, 150.0),
+    ("2023-12-31", "EU", "B", 999, 9, 1.0),
+    ("2024-12-31", "US", "B", 50, 5, 10.0),
+]
+
+
+@pytest.fixture(scope="module")
+def sales(spark):
+    schema = "date string, region string, category string, sales int, quantity bigint, price double"
+    return from_dataframe(spark.createDataFrame(SALES, schema).coalesce(1).cache())
+
+
+@pytest.fixture(scope="module")
+def numbers(spark):
+    rows = [(str(k % 3), k, k + 0.5) for k in range(10_000)]
+    return from_dataframe(spark.createDataFrame(rows, "k string, v bigint, x double").repartition(5).cache())
+
+
+def test_multi_dimensional(sales):
+    query = sales.query().where("date", between("2024-01-01", "2024-12-31")).group_by("region", "category")
+    got = query.aggregate("sales", "sum").aggregate("quantity", "SUM").aggregate("price", AggOp.AVG).execute()
+    assert got.is_multi_dimensional and got.dimensions == ("region", "category")
+    assert got.measures == ("sales_sum", "quantity_sum", "price_avg")
+    assert {k: tuple(v.values()) for k, v in got.value.items()} == {
+        ("US", "A"): (300, 5, 58.25), ("EU", "B"): (150, 1, 150.0), ("US", "B"): (50, 5, 10.0),
+    }
+
+
+def test_all_operators_over_partitions(numbers):
+    for column, values in (("v", range(10_000)), ("x", [k + 0.5 for k in range(10_000)])):
+        want = {"sum": sum(values), "count": 10_000, "avg": sum(values) / 10_000, "min": min(values), "max": max(values)}
+        for op, value in want.items():
+            assert numbers.aggregate(column, op) == value
+            one = numbers.query().where("k", equals("1")).aggregate(column, op).execute().value
+            part = [x for k, x in enumerate(values) if k % 3 == 1]
+            assert one == pytest.approx({"sum": sum(part), "count": len(part), "avg": sum(part) / len(part), "min": part[0], "max": part[-1]}[op])
+
+
+def test_dispatch(sales):
+    q = sales.query()
+    assert q.aggregate("sales", "sum").execute().kind == "aggregate"
+    assert q.aggregates([("sales", "sum"), ("price", "min", "low")]).execute().value == {"sales_sum": 1499, "low": 1.0}
+    assert q.group_by("region").aggregate("sales", "max").execute().value == {"US": 200, "EU": 999}
+    assert q.group_by("region").aggregates([("sales", "max"), ("sales", "min")]).execute().value["EU"] == {"sales_max": 999, "sales_min": 150}
+    assert q.group_by("region", "category").aggregate("sales", "count").execute().value[("US", "A")] == {"sales_count": 2}
+    chosen = q.where("sales", greater_than(120)).select("region", "sales", "region").execute()
+    assert chosen.rows == (1, 2, 3) and chosen.columns == ("region", "sales", "region")
+    assert chosen.value == {"region": ["US", "EU", "EU"], "sales": [200, 150, 999]}
+    assert q.where("sales", greater_than(120)).execute().value == {"row_index": [1, 2, 3]}
+    for wrong in (q.group_by("region"), q.select("sales").aggregate("sales", "sum"), q.group_by("region").select("sales")):
+        with pytest.raises(QueryError, match="Invalid query combination"):
+            wrong.execute()
+
+
+def test_types_and_names(sales):
+    with pytest.raises(QueryError, match="text column"):
+        sales.query().group_by("sales").aggregate("price", "sum").to_df()
+    assert sales.query().group_by("sales", allow_any_key=True).aggregate("price", "sum").to_df().count() == 5
+    for op in AggOp:
+        with pytest.raises(QueryError):
+            sales.aggregate("region", op)
+    with pytest.raises(QueryError, match="Unknown op"):
+        sales.aggregate("sales", "median")
+    with pytest.raises(QueryError, match="Several output columns"):
+        sales.query().aggregates([("sales", "sum"), ("quantity", "sum", "sales_sum")]).to_df()
+    with pytest.raises(MissingColumnError):
+        sales.query().select("nope").to_df()
+    # a bad filter is reported before a bad combination
+    with pytest.raises(MissingColumnError):
+        sales.query().where("nope", equals(1)).group_by("region").execute()
+    assert sales.query().aggregate("sales", "avg", "Mean").to_df().columns == ["Mean"]
+
+
+def test_empty_input(sales):
+    none = sales.query().where("sales", greater_than(10_000))
+    for op in AggOp:
+        with pytest.raises(EmptyInputError):
+            none.aggregate("sales", op).execute()
+    assert none.aggregates([("sales", "sum"), ("sales", "count")]).to_df().first()[:] == (None, 0)
+    assert none.group_by("region").aggregate("sales", "sum").execute().value == {}
+
+
+def test_nan(spark):
+    table = from_dataframe(spark.createDataFrame([("a", 1.5), ("a", math.nan), ("b", math.nan), ("a", -2.0)], "k string, v double"))
+    assert table.aggregate("v", "min") == -2.0 and table.aggregate("v", "max") == 1.5 and table.aggregate("v", "count") == 4
+    assert math.isnan(table.aggregate("v", "sum")) and math.isnan(table.aggregate("v", "avg"))
+    assert {r["k"]: r["v_max"] for r in table.group_by("k", "v", "max").collect()} == {"a": 1.5, "b": None}
+
+
+def test_overflow_is_an_error(spark):
+    table = from_dataframe(spark.createDataFrame([(1 << 62,), (1 << 62,)], "v bigint"))
+    with pytest.raises(Exception, match="OVERFLOW"):
+        table.aggregate("v", "sum")
+
+
+def test_limit(sales, numbers):
+    assert sales.query().select("sales").limit(2).execute().value == {"sales": [100, 200]}
+    assert sales.query().limit(3).execute().rows == (0, 1, 2)
+    assert sales.query().group_by("region").aggregate("sales", "sum").limit(1).execute().value == {"EU": 1149}
+    with pytest.raises(QueryError):
+        sales.query().limit(-1)
+    with pytest.raises(QueryError, match="More than 10 rows"):
+        numbers.query().select("v").execute(max_rows=10)
+
+
+def test_builder_is_immutable(sales):
+    base = sales.query().where("sales", greater_than(0))
+    base.group_by("region").aggregate("sales", "sum")
+    assert base.groups == () and base.aggregates_ == ()
+    assert base.select("sales").select("price").to_df().columns == ["price"]
+
+
+def test_cache(spark, sales, numbers):
+    cache = ResultCache(capacity=2)
+    query = sales.query(cache).aggregate("sales", "sum")
+    assert query.execute() is query.execute()
+    assert (cache.hits, cache.misses) == (1, 1)
+    other = from_dataframe(spark.createDataFrame([(7,)], "sales bigint"))
+    assert other.query(cache).aggregate("sales", "sum").execute().value == 7  # equal names, another table
+    query.execute()
+    sales.query(cache).aggregate("sales", "max").execute()  # the least recently used entry goes
+    hits = cache.hits
+    query.execute()
+    assert cache.hits == hits + 1 and len(cache) == 2
+    assert query.no_cache().execute() is not query.execute()
+    small = ResultCache(max_rows=10)
+    numbers.query(small).select("v").execute()
+    assert len(small) == 0
+
+
+def test_cached_filter(sales):
+    cache = ResultCache(persist_filters=True)
+    query = sales.query(cache).where("region", equals("US"))
+    assert query.aggregate("sales", "sum").execute().value == 350
+    assert "InMemoryTableScan" in query.aggregate("price", "max").to_df()._jdf.queryExecution().toString()
+    cache.clear()
+
+
+def test_row_index_over_files(spark, tmp_path):
+    spark.range(1000).repartitionByRange(7, "id").sortWithinPartitions("id").write.parquet(f"{tmp_path}/t")
+    table = from_parquet(spark, f"{tmp_path}/t")
+    got = table.indexed().collect()
+    assert sorted(r["row_index"] for r in got) == list(range(1000)) and all(r["id"] == r["row_index"] for r in got)
+    assert table.query().limit(5).execute().rows == (0, 1, 2, 3, 4)
+
+
+def test_metadata_and_arrow(sales):
+    arrow = sales.to_arrow()
+    assert [str(t) for t in arrow.schema.types] == ["string", "string", "string", "int64", "int64", "double"]
+    assert sales.row_count() == arrow.num_rows == 5
+    assert sales.df.select(sales.column(3)).columns == ["sales"]
+    with pytest.raises(MissingColumnError):
+        sales.get_column("nope")
+
+
+def test_odd_column_names(spark):
+    table = from_dataframe(spark.createDataFrame([("x", 1), ("y", 2)], "`a.b` string, `c d` bigint"))
+    assert table.query().where("c d", equals(2)).group_by("a.b").aggregate("c d", "sum").execute().value == {"y": 2}
