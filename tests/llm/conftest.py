@@ -1,0 +1,32 @@
+import pytest
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, id string, sha string, fp bigint, score double, kept string"
+LONG = "Ein sehr langer Text. " * 6000
+
+
+def documents():
+    texts = [
+        None, "", "   \n\t", "a", "A", "the quick brown fox jumps over the lazy dog", "the quick brown  fox jumps over the lazy dog\n",
+        "The Quick Brown Fox jumps over the lazy dog", LONG, LONG, "12345 67890 !!!", "x" * 5000, "é ñ ß 日本語 😀", "zero\x00byte", "a b", "ab",
+        "<|endoftext|> special", "  two  spaces ", "▁mark ▁▁marks", "line\r\nline\x0b\x0cline  wide\x1c",
+    ]
+    rows = [(k, t, "de" if t and "Ein" in t else "en", "s", 1, "x", "y", 3, 0.5, "z") for k, t in enumerate(texts)]
+    rows += [rows[5], rows[5]]  # the same document again
+    rows += [(None, "no id", None, None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None, None)]
+    return rows
+
+
+@pytest.fixture(scope="session")
+def edge_rows():
+    return documents()
+
+
+@pytest.fixture(scope="session")
+def edge(spark):
+    """Nulls, empty and very long texts, repeated rows, null ids, columns named as operators' own."""
+    return spark.createDataFrame(documents(), SCHEMA).repartition(5).cache()
+
+
+@pytest.fixture(scope="session")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
