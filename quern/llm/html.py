@@ -32,6 +32,7 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 UNSEEN = frozenset("script style".split())
+SECTIONS = frozenset("article aside footer form header main nav section".split())
 #: A start tag closes what stands here if it is open inside of the second set.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -152,6 +153,10 @@ def _element(tag: str, attributes: str) -> tuple[str, ...]:
 def _path_vector(path: tuple[tuple[str, str], ...]) -> np.ndarray:
     tokens = [token for tag, attributes in path[-64:] for token in _element(tag, attributes)]
     tokens.append("l:" + (path[-1][0] if path else ""))
+    # what lies innermost decides most often, so it also has places of its own
+    named = next((e for tag, attributes in reversed(path) if len(e := _element(tag, attributes)) > 1), ("",))
+    tokens += ("n:" + token for token in named[1:])
+    tokens.append("s:" + next((tag for tag, _ in reversed(path) if tag in SECTIONS), ""))
     spots = np.bincount([_spot(token, PATH) for token in tokens], minlength=2 * PATH)
     return np.clip(spots[:PATH] - spots[PATH:], -2, 2).astype(np.float32)
 
