@@ -198,7 +198,8 @@ def write_ids(
     ship(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     narrow = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    ordered = narrow.repartitionByRange("id", "text").sortWithinPartitions("id", "text")
+    # the range keys that Spark samples for the driver are ids alone; equal ids share a partition
+    ordered = narrow.repartitionByRange("id").sortWithinPartitions("id", "text")
     schema = f"part long, start long, n_ids long, doc_ids array<{kind}>, block binary"
     return stored(ordered.mapInArrow(_write(path, end, block), schema), "blocks")
 
