@@ -20,9 +20,5 @@ class EmptyInputError(QueryError):
         super().__init__("Cannot aggregate empty values")
 
 
-class NotLoadedError(EngineError):
-    """A table was asked for before anything was loaded."""
-
-
 class LoadError(EngineError):
     """A file that can't be taken as a table."""

@@ -11,3 +11,12 @@ def test_sales(spark):
 def test_prices(spark):
     rows = prices(spark, 250).collect()
     assert tuple(rows[0]) == (0, 0, "0.00", "cat_0") and tuple(rows[203]) == (203, 2030, "304.50", "cat_3")
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from quern.__main__ import main
+
+    main(["generate", "prices", "50", f"{tmp_path}/out"])
+    main(["load", f"{tmp_path}/out"])
+    said = capsys.readouterr().out
+    assert "50 rows in" in said and "price: double" in said
