@@ -62,6 +62,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of input for each partition of a shuffle that Spark's own setting would make too few of.
+PARTITION_BYTES = 64 << 20
+
+
+def parts(df: DataFrame, times: float = 1.0) -> list[int]:
+    """How many partitions to deal df to, if its size times `times` asks for more than the session's
+    setting; else nothing, and Spark joins small ones as it likes. Sizes from 2**60 stand for unknown."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    wanted = int(-(-size * times // PARTITION_BYTES)) if size < 1 << 60 else 0
+    return [wanted] if wanted > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
+
+
 def byte_rows(column: pa.Array, null: bytes = b"") -> Iterator[bytes]:
     """The UTF-8 bytes of each value of a string or binary column."""
     for value in column.cast(pa.large_binary()):

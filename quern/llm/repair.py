@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.bytebpe import VOCABULARY, encode
-from quern.llm.common import ranges, ship, stored, tokenizer_path
+from quern.llm.common import parts, ranges, ship, stored, tokenizer_path
 
 MAGIC, TERMINALS, SYMBOLS = b"RPG1", 50257, 1 << 16
 BLOCK, ROUNDS, LEAST, END = 1 << 20, 6, 32, 2
@@ -199,7 +199,7 @@ def write_ids(
     kind = df.schema[id_col].dataType.simpleString()
     narrow = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     # the range keys that Spark samples for the driver are ids alone; equal ids share a partition
-    ordered = narrow.repartitionByRange("id").sortWithinPartitions("id", "text")
+    ordered = narrow.repartitionByRange(*parts(narrow), "id").sortWithinPartitions("id", "text")
     schema = f"part long, start long, n_ids long, doc_ids array<{kind}>, block binary"
     return stored(ordered.mapInArrow(_write(path, end, block), schema), "blocks")
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import byte_rows, ranges, ship, stored
+from quern.llm.common import byte_rows, parts, ranges, ship, stored
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: Rows of a bucket that one task indexes, members of a node, searches at once, pairs at once.
@@ -199,15 +199,15 @@ def fingerprint_links(classes: DataFrame, distance: int = DISTANCE, bucket_rows:
         dealt = spread.select("block", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp")
     else:
         # at most (distance + 1) * n / bucket_rows blocks are large; Spark broadcasts them if they are few
-        parts = F.coalesce(F.ceil(F.col("count") / F.lit(bucket_rows / 2)), F.lit(1)).cast("int")
-        salted = spread.join(large, "block", "left").select("block", "fp", parts.alias("p"))
+        split = F.coalesce(F.ceil(F.col("count") / F.lit(bucket_rows / 2)), F.lit(1)).cast("int")
+        salted = spread.join(large, "block", "left").select("block", "fp", split.alias("p"))
         salted = salted.withColumn("i", F.pmod(F.xxhash64("fp"), F.col("p").cast("long")).cast("int"))
         salted = salted.select("block", "fp", "p", "i", F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("k"))
         # with more than one part every pair of different parts meets
         salted = salted.filter((F.col("p") == 1) | (F.col("i") != F.col("k")))
         dealt = salted.select("block", F.least("i", "k").alias("i"), F.greatest("i", "k").alias("j"), "fp")
     keyed = dealt.select(F.xxhash64("block", "i", "j").alias("key"), "fp")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_links(distance), "a long, b long")
+    return keyed.repartition(*parts(classes, distance + 1), "key").sortWithinPartitions("key").mapInArrow(_bucket_links(distance), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -148,3 +148,13 @@ def test_components(spark):
     got = {r.node: r.label for r in components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
     assert got == {k: 0 for k in range(61)} | {k: 500 for k in range(500, 560)} | {-3: -9, 70: -9, -9: -9}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_parts_follow_the_size(spark, monkeypatch):
+    from quern.llm import common
+
+    df = spark.range(1000)
+    assert common.parts(df) == []
+    monkeypatch.setattr(common, "PARTITION_BYTES", 100)
+    assert common.parts(df) == [80] and common.parts(df, 2) == [160]
+    assert df.repartition(*common.parts(df), "id").rdd.getNumPartitions() == 80
