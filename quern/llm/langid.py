@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import LETTER, ship, stored
 
 #: Labelled rows of each language that a model is fitted on at most (about; chosen by a hash of the id).
-TRAIN_ROWS = 1500
+TRAIN_ROWS = 1000
 #: Languages at most (the most frequent labels), n-gram buckets, steps of fitting and their penalty.
 LANGUAGES, BUCKETS, STEPS, PENALTY = 200, 2048, 150, 1e-3
 #: Rows whose crc32(id as text) leaves this remainder are held out.
@@ -65,19 +65,20 @@ def codewords(languages: int, seed: int = 7) -> np.ndarray:
 
 
 class CodeClassifier:
-    """Bits of codewords by logistic regression on n-gram shares; decoding by least loss."""
+    """Bits of codewords by logistic regression on n-gram shares (x is changed); decoding by least loss."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, languages: list[str]):
         self.languages, self.code = languages, codewords(len(languages))
-        self.mean = x.mean(0) if len(x) else np.zeros(BUCKETS, np.float32)
+        self.mean = x.mean(0, dtype=np.float64).astype(np.float32) if len(x) else np.zeros(BUCKETS, np.float32)
         self.weight = np.zeros((BUCKETS, self.code.shape[1]), np.float32)
         self.bias = np.zeros(self.code.shape[1], np.float32)
         if not self.code.shape[1]:
             return
         target = self.code[y].astype(np.float32)
         each = (1.0 / np.bincount(y, minlength=len(languages))[y] / len(languages)).astype(np.float32)[:, None]
-        z = x - self.mean
-        rate, momentum = 4.0 / max(float((each * z**2).sum()), 1e-9), 0.9
+        z = x  # centred in place: the sample is the largest thing that the driver holds
+        z -= self.mean
+        rate, momentum = 4.0 / max(float(each[:, 0] @ np.einsum("ij,ij->i", z, z)), 1e-9), 0.9
         step_w, step_b = np.zeros_like(self.weight), np.zeros_like(self.bias)
         for _ in range(STEPS):
             margin = (z @ self.weight + self.bias) * target
@@ -99,7 +100,7 @@ class CodeClassifier:
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = [k for k, value in enumerate(batch.column(1)) if value.is_valid and has_letter(value.as_py())]
-        rows = [features(batch.column(1)[k].as_py()).tobytes() for k in keep]
+        rows = [features(batch.column(1)[k].as_py()).astype(np.float16).tobytes() for k in keep]
         take = pa.array(keep, pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), pa.array(rows, pa.binary())], ["id", "lang", "x"])
 
@@ -147,10 +148,14 @@ def identify_language(
         draw = F.pmod(F.xxhash64("id", "lang"), F.lit(1_000_000)) < F.coalesce(F.create_map(*pairs)[F.col("lang")], F.lit(0.0)) * 1_000_000
         sample = known.filter(draw).mapInArrow(_sample, f"id {kind}, lang string, x binary")
     sample = stored(sample, "languages")
-    train = sample.orderBy("lang", "id").limit(2 * train_rows * max(len(share), 1)).select("lang", "x").toPandas()
-    languages = sorted(set(train["lang"]))
-    x = np.frombuffer(b"".join(train["x"]), np.float32).reshape(len(train), BUCKETS)
-    y = np.array([languages.index(lang) for lang in train["lang"]], np.int64)
+    train = sample.orderBy("lang", "id").limit(2 * train_rows * max(len(share), 1)).select("lang", "x").toArrow()
+    names = train["lang"].to_pylist()
+    languages = sorted(set(names))
+    y = np.array([languages.index(name) for name in names], np.int64)
+    x = np.empty((len(names), BUCKETS), np.float32)
+    for k, row in enumerate(train["x"]):
+        x[k] = np.frombuffer(row.as_buffer(), np.float16)
+    del train
     shared = spark.sparkContext.broadcast(CodeClassifier(x, y, languages))
     out = narrow.select("id", "text").mapInArrow(_predict(shared), f"id {kind}, lang_pred string, score double, ambiguous boolean")
     return out.select(F.col("id").alias(id_col), (remainder == HELD_OUT).alias("held_out"), "lang_pred", "score", "ambiguous")
