@@ -22,7 +22,6 @@ from quern.operators.row_index import numbered
 #: What counts as a number. \z, since $ also matches before a last line end.
 INT = r"^-?[0-9]+\z"
 FLOAT = r"(?i)^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf|infinity|nan)\z"
-_SOURCE = {ColType.INT: INT, ColType.FLOAT: FLOAT}
 
 
 def infer(value: str) -> ColType:
@@ -49,31 +48,61 @@ class LoadReport:
     def errors(self) -> DataFrame:
         """row (line number, the first line's is 1), column, value, error: a row for each line of the
         wrong width (column "", error NULL) and for each cell that is no number of its column's type."""
-        split = numbered(self.lines, "row").filter(self._is_data()).select((F.col("row") + 1).alias("row"), F.split("line", ",", -1).alias("f"))
+        data = numbered(self.lines, "row").filter(_is_data()).select((F.col("row") + 1).alias("row"), _split(), _width().alias("n"))
         width = len(self.names)
         wrong_width = F.struct(
             F.lit("").alias("column"),
-            F.format_string(f"Expected {width} fields, got %d", F.size("f")).alias("value"),
+            F.format_string(f"Expected {width} fields, got %d", F.col("n")).alias("value"),
             F.lit(None).cast("string").alias("error"),
         )
         no_number = [
             F.when(
-                _typed(F.col("f")[k], kind).isNull(),
-                F.struct(F.lit(name).alias("column"), F.col("f")[k].alias("value"), F.lit(f"not a {kind.value}").alias("error")),
+                _typed(_cell(k, width), kind).isNull(),
+                F.struct(F.lit(name).alias("column"), _cell(k, width).alias("value"), F.lit(f"not a {kind.value}").alias("error")),
             )
             for k, (name, kind) in enumerate(zip(self.names, self.types))
             if kind is not ColType.STR
         ]
         bad = F.filter(F.array(*no_number), lambda x: x.isNotNull()) if no_number else F.lit(None)
-        found = F.when(F.size("f") != width, F.array(wrong_width)).otherwise(bad)
-        return split.select("row", F.explode(found).alias("e")).select("row", "e.column", "e.value", "e.error")
+        found = F.when(F.col("n") != width, F.array(wrong_width)).otherwise(bad)
+        return data.select("row", F.explode(found).alias("e")).select("row", "e.column", "e.value", "e.error")
 
-    def _is_data(self) -> Column:
-        return ~F.col("is_header") & (F.col("line") != "")
 
+def _is_data() -> Column:
+    return ~F.col("is_header") & ~F.col("value").isin("", "\r")
 
-def _line() -> Column:
-    return F.when(F.col("value").endswith("\r"), F.expr("substring(value, 1, length(value) - 1)")).otherwise(F.col("value"))
+
+def _width() -> Column:
+    """Number of fields, without making them."""
+    return F.octet_length("value") - F.octet_length(F.replace("value", F.lit(","), F.lit(""))) + 1
+
+
+def _split() -> Column:
+    return F.split("value", ",", -1).alias("f")
+
+
+def _cell(k: int, width: int) -> Column:
+    """A field; a CR at the end of the line is none of its last field."""
+    field = F.col("f")[k]
+    if k < width - 1:
+        return field
+    return F.when(field.endswith("\r"), F.substring(field, F.lit(1), F.length(field) - 1)).otherwise(field)
+
+
+def _typed(value: Column, kind: ColType) -> Column:
+    """The cell as its column's type, NULL if it is no such number.
+
+    A cast alone also takes blanks around a number, a plus before an integer, and 1d or 0x1p3. What
+    starts and ends like a plain number can be none of these; only the rest is matched in full.
+    """
+    if kind is ColType.STR:
+        return value
+    number = value.try_cast(kind.value)
+    first, last = F.substring(value, 1, 1), F.substring(value, -1, 1)
+    if kind is ColType.INT:
+        return F.when(first.between("-", "9") & last.between("0", "9"), number)
+    plain = first.between("+", "9") & last.between("0", "9") & ~value.contains("x") & ~value.contains("X")
+    return F.when(plain, number).when(value.rlike(FLOAT), number)
 
 
 def _names(header: str) -> list[str]:
@@ -95,30 +124,26 @@ def read_csv(spark: SparkSession, path: str) -> tuple[Table, LoadReport]:
     """
     try:
         text = spark.read.text(path, lineSep="\n")
-        first = text.filter(F.col("_metadata.file_block_start") == 0).select(_line().alias("line")).head(1)
+        first = text.filter(F.col("_metadata.file_block_start") == 0).head(1)
     except AnalysisException as error:
         raise LoadError(str(error)) from error
     if not first:
         raise LoadError("Missing header line")
-    header = first[0]["line"]
+    header = first[0]["value"].removesuffix("\r")
     names = _names(header.removeprefix("\ufeff"))
     several = len(text.inputFiles()) > 1
-    lines = text.select(_line().alias("line"), F.monotonically_increasing_id().alias("id"))
-    lines = lines.select("line", (F.col("line") == header if several else F.col("id") == 0).alias("is_header"))
-    body = lines.filter(~F.col("is_header") & (F.col("line") != ""))
+    is_header = F.col("value").isin(header, header + "\r") if several else F.monotonically_increasing_id() == 0
+    lines = text.select("value", is_header.alias("is_header"))
+    body = lines.filter(_is_data())
     sample = body.head(1)
     if not sample:
         raise LoadError("No data rows")
-    fields = sample[0]["line"].split(",")
+    fields = sample[0]["value"].removesuffix("\r").split(",")
     if len(fields) != len(names):
         raise LoadError(f"Header/data mismatch: {len(names)} vs {len(fields)}")
     types = [infer(value) for value in fields]
 
-    parts = body.select(F.split("line", ",", -1).alias("f")).filter(F.size("f") == len(names))
-    kept = parts.select(*(_typed(F.col("f")[k], kind).alias(name) for k, (name, kind) in enumerate(zip(names, types))))
+    cells = body.filter(_width() == len(names)).select(_split())
+    kept = cells.select(*(_typed(_cell(k, len(names)), kind).alias(name) for k, (name, kind) in enumerate(zip(names, types))))
     table = Table(kept, lambda: numbered(kept))
     return table, LoadReport(table, lines, names, types)
-
-
-def _typed(value: Column, kind: ColType) -> Column:
-    return value if kind is ColType.STR else F.when(value.rlike(_SOURCE[kind]), value.try_cast(kind.value))

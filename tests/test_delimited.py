@@ -80,6 +80,9 @@ def test_group_average(load):
         ("a,b\n\n1,2\n", [(1, 2)], []),
         ("v\n1\n 2\n", [(1,), (None,)], [(3, "v", " 2", "not a bigint")]),
         ("v\n1.5\n1d\n", [(1.5,), (None,)], [(3, "v", "1d", "not a double")]),
+        ("v\n1\n+2\n\x7f3\n4\t\n-5\n007\n", [(1,), (None,), (None,), (None,), (-5,), (7,)], [(3, "v", "+2", "not a bigint"), (4, "v", "\x7f3", "not a bigint"), (5, "v", "4\t", "not a bigint")]),
+        ("v\n.5\n2.\n+1e3\n0x1p3\n1f\n 7\n-inf\n", [(0.5,), (2.0,), (1000.0,), (None,), (None,), (None,), (-math.inf,)], [(5, "v", "0x1p3", "not a double"), (6, "v", "1f", "not a double"), (7, "v", " 7", "not a double")]),
+        ("k,v\r\nx,1\r\n\r\ny,2\r\r\n", [("x", 1), ("y", None)], [(4, "v", "2\r", "not a bigint")]),
     ],
 )
 def test_edge_cases(load, text, want, bad):
