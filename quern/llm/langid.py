@@ -12,7 +12,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import LETTER, ship, stored
@@ -105,41 +105,50 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), pa.array(rows, pa.binary())], ["id", "lang", "x"])
 
 
+def _languages(model: CodeClassifier, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    known = [k for k, text in enumerate(texts) if text is not None and model.languages and has_letter(text)]
+    lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    if known:
+        best, share = model.predict(np.stack([features(texts[k]) for k in known]))
+        for k, b, s in zip(known, best, share):
+            lang[k], score[k] = model.languages[b], float(s)
+    return lang, score
+
+
 def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
-                texts = part.column(1).to_pylist()
-                known = [k for k, text in enumerate(texts) if text is not None and model.languages and has_letter(text)]
-                lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
-                if known:
-                    best, share = model.predict(np.stack([features(texts[k]) for k in known]))
-                    for k, b, s in zip(known, best, share):
-                        lang[k], score[k] = model.languages[b], float(s)
+                lang, score = _languages(shared.value, part.column(1).to_pylist())
                 unclear = [s < CLEAR for s in score]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang), pa.array(score), pa.array(unclear)], ["id", "lang_pred", "score", "ambiguous"])
+                values = [part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(unclear, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(values, ["id", "lang_pred", "score", "ambiguous"])
 
     return run
 
 
-def identify_language(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS
-) -> DataFrame:
-    """The id column, held_out, lang_pred, score (0 to 1) and ambiguous of each row.
+def _identified(shared, text_at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                lang, _ = _languages(shared.value, part.column(text_at).to_pylist())
+                yield part.filter(pa.array([found != UNKNOWN for found in lang], pa.bool_()))
 
-    Rows that are not held out teach if their language is known and their text has a letter. A
-    null text, one without letters, or any text where nothing was learned is `und` with score 0. With
-    one language learned, all other texts have it. Equal losses give the language first in
-    alphabetical order. Repeated rows give a row each, an empty table none; other columns are not read.
-    """
-    spark = df.sparkSession
-    ship(spark)
+    return run
+
+
+def _remainder(column: str) -> Column:
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % FOLDS
+
+
+def fit_languages(df: DataFrame, id_col: str, text_col: str, lang_col: str, train_rows: int) -> CodeClassifier:
+    """A classifier fitted on train_rows or so of each language's rows that are not held out."""
+    ship(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     narrow = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    remainder = F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")) % FOLDS
-    known = narrow.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder != HELD_OUT))
+    known = narrow.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (_remainder("id") != HELD_OUT))
     counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     share = {r["lang"]: min(1.0, train_rows / r["count"]) for r in counts}
     sample = known.limit(0).mapInArrow(_sample, f"id {kind}, lang string, x binary")
@@ -156,6 +165,30 @@ def identify_language(
     for k, row in enumerate(train["x"]):
         x[k] = np.frombuffer(row.as_buffer(), np.float16)
     del train
-    shared = spark.sparkContext.broadcast(CodeClassifier(x, y, languages))
-    out = narrow.select("id", "text").mapInArrow(_predict(shared), f"id {kind}, lang_pred string, score double, ambiguous boolean")
-    return out.select(F.col("id").alias(id_col), (remainder == HELD_OUT).alias("held_out"), "lang_pred", "score", "ambiguous")
+    return CodeClassifier(x, y, languages)
+
+
+def identify_language(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS
+) -> DataFrame:
+    """The id column, held_out, lang_pred, score (0 to 1) and ambiguous of each row.
+
+    Rows that are not held out teach if their language is known and their text has a letter. A
+    null text, one without letters, or any text where nothing was learned is `und` with score 0. With
+    one language learned, all other texts have it. Equal losses give the language first in
+    alphabetical order. Repeated rows give a row each, an empty table none; other columns are not read.
+    """
+    kind = df.schema[id_col].dataType.simpleString()
+    shared = df.sparkSession.sparkContext.broadcast(fit_languages(df, id_col, text_col, lang_col, train_rows))
+    narrow = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    out = narrow.mapInArrow(_predict(shared), f"id {kind}, lang_pred string, score double, ambiguous boolean")
+    return out.select(F.col("id").alias(id_col), (_remainder("id") == HELD_OUT).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def identified_rows(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS
+) -> DataFrame:
+    """The rows of df that `identify_language` gives a learned language, with all of their columns, in one
+    pass without a shuffle. Ambiguous rows stay: a doubt between languages is no fault of a text."""
+    shared = df.sparkSession.sparkContext.broadcast(fit_languages(df, id_col, text_col, lang_col, train_rows))
+    return df.mapInArrow(_identified(shared, df.columns.index(text_col)), df.schema)

@@ -1,8 +1,8 @@
 """Quality of documents by gradient-boosted trees over histograms of their statistics.
 
-Statistics are computed once for each whole text and stored. Trees are grown on the driver from
-binned values of a bounded sample of labelled rows, and flattened into arrays: node k of a tree
-has children 2k + 1 and 2k + 2, so all trees are walked at once, level by level, for a batch.
+Trees are grown on the driver from binned statistics of a bounded sample of labelled rows, and
+flattened into arrays: node k of a tree has children 2k + 1 and 2k + 2, so all trees are walked at
+once, level by level, for a batch. Scoring is one pass over the texts.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import byte_rows, ship, stored
@@ -72,7 +72,7 @@ def statistics(raw: bytes) -> list[float]:
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [np.array(statistics(raw), np.float32).tobytes() for raw in byte_rows(batch.column(1))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["id", "x"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.binary())], [*batch.schema.names, "x"])
 
 
 class BoostedTrees:
@@ -129,19 +129,51 @@ class BoostedTrees:
         return 1 / (1 + np.exp(-raw))
 
 
+def _matrix(rows: list) -> np.ndarray:
+    return np.array(rows, np.float32).reshape(len(rows), len(STATISTICS)).astype(np.float64)
+
+
+def _scores(model: BoostedTrees, column: pa.Array) -> np.ndarray:
+    return model.score(_matrix([statistics(raw) for raw in byte_rows(column)]))
+
+
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 2000):
                 part = batch.slice(lo, 2000)
-                x = _matrix(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shared.value.score(x))], ["id", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_scores(shared.value, part.column(1)))], ["id", "score"])
 
     return run
 
 
-def _matrix(rows: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(rows), np.float32).reshape(len(rows), len(STATISTICS)).astype(np.float64)
+def _good(shared, text_at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2000):
+                part = batch.slice(lo, 2000)
+                yield part.filter(pa.array(_scores(shared.value, part.column(text_at)) >= 0.5))
+
+    return run
+
+
+def _remainder(column: str) -> Column:
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % FOLDS
+
+
+def fit_quality(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, train_rows: int) -> BoostedTrees:
+    """Trees fitted on the labelled rows that are not held out, or on train_rows of them or so."""
+    ship(df.sparkSession)
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("y in (0, 1)")
+    known = known.filter(F.col("id").isNotNull() & (_remainder("id") != HELD_OUT)).groupBy("id").agg(F.max("y").alias("y"))
+    share = min(1.0, train_rows / max(known.count(), 1))
+    chosen = known.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share * 1_000_000).limit(2 * train_rows)
+    kind = df.schema[id_col].dataType.simpleString()
+    # at most 2 * train_rows ids and labels are broadcast, so that no text is shuffled
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
+    measured = stored(texts.mapInArrow(_measure, f"id {kind}, text string, y int, x binary").select("id", "y", "x"), "statistics")
+    sample = measured.groupBy("id").agg(F.first("x").alias("x"), F.first("y").alias("y")).orderBy("id").toPandas()
+    return BoostedTrees(_matrix([np.frombuffer(x, np.float32) for x in sample["x"]]), sample["y"].to_numpy(np.float64))
 
 
 def quality(
@@ -159,19 +191,22 @@ def quality(
     labels every score is 0.5. Repeated rows give a row each, an empty table none; other
     columns are not read.
     """
-    spark = df.sparkSession
-    ship(spark)
     kind = df.schema[id_col].dataType.simpleString()
+    shared = df.sparkSession.sparkContext.broadcast(fit_quality(df, labels, id_col, text_col, label_col, train_rows))
     narrow = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = stored(narrow.mapInArrow(_measure, f"id {kind}, x binary"), "statistics")
-    remainder = F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")) % FOLDS
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("y in (0, 1)").filter(remainder != HELD_OUT)
-    known = known.groupBy("id").agg(F.max("y").alias("y"))
-    share = min(1.0, train_rows / max(known.count(), 1))
-    chosen = known.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share * 1_000_000)
-    sample = rows.join(chosen, "id").groupBy("id").agg(F.first("x").alias("x"), F.first("y").alias("y")).orderBy("id").limit(2 * train_rows).toPandas()
-    model = BoostedTrees(_matrix(list(sample["x"])), sample["y"].to_numpy(np.float64))
-    shared = spark.sparkContext.broadcast(model)
-    return rows.mapInArrow(_score(shared), f"id {kind}, score double").select(
-        F.col("id").alias(id_col), (remainder == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return narrow.mapInArrow(_score(shared), f"id {kind}, score double").select(
+        F.col("id").alias(id_col), (_remainder("id") == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+def good_rows(
+    df: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "quality",
+    train_rows: int = TRAIN_ROWS,
+) -> DataFrame:
+    """The rows of df that `quality` predicts 1 for, with all of their columns, in one pass without a shuffle."""
+    shared = df.sparkSession.sparkContext.broadcast(fit_quality(df, labels, id_col, text_col, label_col, train_rows))
+    return df.mapInArrow(_good(shared, df.columns.index(text_col)), df.schema)

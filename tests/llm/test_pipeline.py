@@ -24,7 +24,7 @@ def folder(spark, tmp_path_factory):
     rows += [(200 + k, body[k].replace("word1", "word9", 1) + " More.", "en", "s", 1) for k in range(10)]
     rows += [(300 + k, "###$$$ %%% &&& " * 30, "en", "s", 1) for k in range(6)]
     rows += [(400, None, None, None, None), (401, "", "en", "s", 0), (402, "12 34", "en", "s", 5), (403, "de " * 900, "de", "s", 1)]
-    docs = spark.createDataFrame(rows, COLUMNS).withColumnRenamed("source", "source")
+    docs = spark.createDataFrame(rows, COLUMNS)
     docs.repartition(3).write.parquet(f"{base}/documents.parquet")
     labels = [(k, 1, 0) for k in range(40)] + [(300 + k, 0, 0) for k in range(6)] + [(400, 0, 0), (401, 0, 0)]
     spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{base}/labels.parquet")
