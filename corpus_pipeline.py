@@ -12,38 +12,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import scratch, table
+from quern.llm.common import scratch, stored, table
 from quern.llm.exact_dedup import exact_dedup
-from quern.llm.langid import UNKNOWN, identify_language
+from quern.llm.langid import identified_rows
 from quern.llm.packing import pack_documents
-from quern.llm.quality import quality
+from quern.llm.quality import good_rows
 from quern.llm.simhash import near_duplicates
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose id is among those kept (an id is one document; a null id is one too)."""
-    ids = kept.select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept_id"]), "left_semi")
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of docs whose id is not among those dropped; rows without an id, which no id can name, stay.
+    Few are dropped, so Spark can send their ids to the rows; texts are shuffled only where it can't."""
+    ids = dropped.select(F.col("doc_id").alias("_dropped_id")).distinct()
+    return docs.join(ids, docs["doc_id"] == ids["_dropped_id"], "left_anti")
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier takes for good."""
-    return _only(docs, quality(docs, table(spark, sf_dir, "labels")).filter("predicted = 1"))
+    return good_rows(docs, table(spark, sf_dir, "labels"))
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that was learned: those without any letter go."""
-    return _only(docs, identify_language(docs).filter(F.col("lang_pred") != UNKNOWN))
+    return identified_rows(docs)
 
 
 def one_of_equals(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that are equal but for white space, the longest (then the smallest id)."""
-    return _only(docs, exact_dedup(docs).filter("kept"))
+    return _without(docs, stored(exact_dedup(docs).filter("not kept").select("doc_id"), "copies"))
 
 
 def one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near duplicates, the smallest id."""
-    return _only(docs, near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    copies = near_duplicates(docs).filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return _without(docs, stored(copies.select("doc_id"), "near-copies"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
