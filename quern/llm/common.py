@@ -66,10 +66,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 PARTITION_BYTES = 64 << 20
 
 
+def _size(df: DataFrame) -> int:
+    """Bytes that Spark expects; from 2**60 on they are unknown."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small input of fewer files than cores, dealt out to all cores: a file of one row group would
+    else be read, and worked on, by one task. Larger inputs stay as they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores and _size(df) < cores * PARTITION_BYTES // 2 else df
+
+
 def parts(df: DataFrame, times: float = 1.0) -> list[int]:
     """How many partitions to deal df to, if its size times `times` asks for more than the session's
-    setting; else nothing, and Spark joins small ones as it likes. Sizes from 2**60 stand for unknown."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    setting; else (and where the size is unknown) nothing, and Spark joins small ones as it likes."""
+    size = _size(df)
     wanted = int(-(-size * times // PARTITION_BYTES)) if size < 1 << 60 else 0
     return [wanted] if wanted > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
 

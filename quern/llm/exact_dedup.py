@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import byte_rows, ship, stored
+from quern.llm.common import byte_rows, ship, spread, stored
 
 SPACE = b" \t\n\x0b\x0c\r"
 #: Counters of each summary. A digest is frequent from 2n / COUNTERS rows, and from LEAST rows.
@@ -90,7 +90,7 @@ def exact_dedup(
     ship(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     narrow = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = stored(narrow.mapInArrow(_digests, f"id {kind}, sha binary, h long, size long"), "digests")
+    rows = stored(spread(narrow).mapInArrow(_digests, f"id {kind}, sha binary, h long, size long"), "digests")
 
     summary = stored(rows.select("h").mapInArrow(_summaries(counters), "h long, n long, rows long, off long"), "counters")
     total, error = summary.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("off"), F.lit(0))).first()

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import ship
+from quern.llm.common import ship, spread
 
 #: Fixed values of the format: elements that start a block, hold no content, or hold raw text.
 BLOCKS = frozenset(
@@ -345,5 +345,5 @@ def extract_main_text(df: DataFrame, id_col: str = "page_id", html_col: str = "h
     kind, url = (df.schema[c].dataType.simpleString() for c in (id_col, url_col))
     shared = spark.sparkContext.broadcast(labeller())
     narrow = df.select(F.col(id_col).alias("id"), F.col(html_col).cast("string").alias("html"), F.col(url_col).alias("url"))
-    out = narrow.mapInArrow(_extract(shared), f"id {kind}, url {url}, text string, n_chars long")
+    out = spread(narrow).mapInArrow(_extract(shared), f"id {kind}, url {url}, text string, n_chars long")
     return out.withColumnsRenamed({"id": id_col, "url": url_col})

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import LETTER, ship, stored
+from quern.llm.common import LETTER, ship, spread, stored
 
 #: Labelled rows of each language that a model is fitted on at most (about; chosen by a hash of the id).
 TRAIN_ROWS = 1000
@@ -155,7 +155,7 @@ def fit_languages(df: DataFrame, id_col: str, text_col: str, lang_col: str, trai
     if share:
         pairs = [F.lit(v) for item in share.items() for v in item]
         draw = F.pmod(F.xxhash64("id", "lang"), F.lit(1_000_000)) < F.coalesce(F.create_map(*pairs)[F.col("lang")], F.lit(0.0)) * 1_000_000
-        sample = known.filter(draw).mapInArrow(_sample, f"id {kind}, lang string, x binary")
+        sample = spread(known.filter(draw)).mapInArrow(_sample, f"id {kind}, lang string, x binary")
     sample = stored(sample, "languages")
     train = sample.orderBy("lang", "id").limit(2 * train_rows * max(len(share), 1)).select("lang", "x").toArrow()
     names = train["lang"].to_pylist()
@@ -181,7 +181,7 @@ def identify_language(
     kind = df.schema[id_col].dataType.simpleString()
     shared = df.sparkSession.sparkContext.broadcast(fit_languages(df, id_col, text_col, lang_col, train_rows))
     narrow = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = narrow.mapInArrow(_predict(shared), f"id {kind}, lang_pred string, score double, ambiguous boolean")
+    out = spread(narrow).mapInArrow(_predict(shared), f"id {kind}, lang_pred string, score double, ambiguous boolean")
     return out.select(F.col("id").alias(id_col), (_remainder("id") == HELD_OUT).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
@@ -191,4 +191,4 @@ def identified_rows(
     """The rows of df that `identify_language` gives a learned language, with all of their columns, in one
     pass without a shuffle. Ambiguous rows stay: a doubt between languages is no fault of a text."""
     shared = df.sparkSession.sparkContext.broadcast(fit_languages(df, id_col, text_col, lang_col, train_rows))
-    return df.mapInArrow(_identified(shared, df.columns.index(text_col)), df.schema)
+    return spread(df).mapInArrow(_identified(shared, df.columns.index(text_col)), df.schema)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import byte_rows, ship, slices, stored
+from quern.llm.common import byte_rows, ship, slices, spread, stored
 
 #: Fixed values of the container format: boxes that hold boxes.
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex"}
@@ -211,7 +211,7 @@ def store_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     ship(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     narrow = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(_store, f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col)
+    return spread(narrow).mapInArrow(_store, f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col)
 
 
 def media_columns(df: DataFrame, media_col: str = "media", id_col: str = "doc_id", keep: tuple[str, ...] = (), payload: bool = False) -> DataFrame:

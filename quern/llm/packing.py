@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.bytebpe import VOCABULARY, encode
-from quern.llm.common import ship, stored, tokenizer_path
+from quern.llm.common import ship, spread, stored, tokenizer_path
 
 SIZE, END = 1024, 0
 
@@ -137,7 +137,7 @@ def pack_documents(
     kind = df.schema[id_col].dataType.simpleString()
     narrow = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, task long, local long"
-    pieces = stored(narrow.mapInArrow(_pieces(path, size, end, with_ids), schema + ", ids binary" * with_ids), "pieces")
+    pieces = stored(spread(narrow).mapInArrow(_pieces(path, size, end, with_ids), schema + ", ids binary" * with_ids), "pieces")
 
     counts = stored(pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")), "lengths")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # `size` rows at most

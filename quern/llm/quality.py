@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import byte_rows, ship, stored
+from quern.llm.common import byte_rows, ship, spread, stored
 
 #: Labelled rows that a model is fitted on at most (about; rows are chosen by a hash of their id).
 TRAIN_ROWS = 20_000
@@ -171,7 +171,7 @@ def fit_quality(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
     kind = df.schema[id_col].dataType.simpleString()
     # at most 2 * train_rows ids and labels are broadcast, so that no text is shuffled
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
-    measured = stored(texts.mapInArrow(_measure, f"id {kind}, text string, y int, x binary").select("id", "y", "x"), "statistics")
+    measured = stored(spread(texts).mapInArrow(_measure, f"id {kind}, text string, y int, x binary").select("id", "y", "x"), "statistics")
     sample = measured.groupBy("id").agg(F.first("x").alias("x"), F.first("y").alias("y")).orderBy("id").toPandas()
     return BoostedTrees(_matrix([np.frombuffer(x, np.float32) for x in sample["x"]]), sample["y"].to_numpy(np.float64))
 
@@ -194,7 +194,7 @@ def quality(
     kind = df.schema[id_col].dataType.simpleString()
     shared = df.sparkSession.sparkContext.broadcast(fit_quality(df, labels, id_col, text_col, label_col, train_rows))
     narrow = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(_score(shared), f"id {kind}, score double").select(
+    return spread(narrow).mapInArrow(_score(shared), f"id {kind}, score double").select(
         F.col("id").alias(id_col), (_remainder("id") == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
 
@@ -209,4 +209,4 @@ def good_rows(
 ) -> DataFrame:
     """The rows of df that `quality` predicts 1 for, with all of their columns, in one pass without a shuffle."""
     shared = df.sparkSession.sparkContext.broadcast(fit_quality(df, labels, id_col, text_col, label_col, train_rows))
-    return df.mapInArrow(_good(shared, df.columns.index(text_col)), df.schema)
+    return spread(df).mapInArrow(_good(shared, df.columns.index(text_col)), df.schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import byte_rows, parts, ranges, ship, stored
+from quern.llm.common import byte_rows, parts, ranges, ship, spread, stored
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: Rows of a bucket that one task indexes, members of a node, searches at once, pairs at once.
@@ -193,14 +193,14 @@ def fingerprint_links(classes: DataFrame, distance: int = DISTANCE, bucket_rows:
     """Links (a, b) between distinct fingerprints (column fp) that join up all of each component."""
     if not 1 <= distance <= 31:
         raise ValueError("distance must be from 1 to 31")
-    spread = classes.select("fp", F.explode(_block_keys(distance)).alias("block"))
-    large = stored(spread.groupBy("block").count().filter(F.col("count") > bucket_rows), "buckets")
+    blocks = classes.select("fp", F.explode(_block_keys(distance)).alias("block"))
+    large = stored(blocks.groupBy("block").count().filter(F.col("count") > bucket_rows), "buckets")
     if large.isEmpty():
-        dealt = spread.select("block", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp")
+        dealt = blocks.select("block", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp")
     else:
         # at most (distance + 1) * n / bucket_rows blocks are large; Spark broadcasts them if they are few
         split = F.coalesce(F.ceil(F.col("count") / F.lit(bucket_rows / 2)), F.lit(1)).cast("int")
-        salted = spread.join(large, "block", "left").select("block", "fp", split.alias("p"))
+        salted = blocks.join(large, "block", "left").select("block", "fp", split.alias("p"))
         salted = salted.withColumn("i", F.pmod(F.xxhash64("fp"), F.col("p").cast("long")).cast("int"))
         salted = salted.select("block", "fp", "p", "i", F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("k"))
         # with more than one part every pair of different parts meets
@@ -250,7 +250,7 @@ def near_duplicates(
     ship(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     narrow = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    docs = stored(narrow.mapInArrow(_fingerprints(words, SEED), f"id {kind}, fp long"), "fingerprints")
+    docs = stored(spread(narrow).mapInArrow(_fingerprints(words, SEED), f"id {kind}, fp long"), "fingerprints")
     classes = stored(docs.groupBy("fp").agg(F.min("id").alias("least")), "classes")
     links = stored(fingerprint_links(classes, distance, bucket_rows), "links")
     labels = components(links)

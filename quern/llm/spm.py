@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import ship, tokenizer_path
+from quern.llm.common import ship, spread, tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
 #: Fixed values of the model format: the mark of a space, and the types of pieces.
@@ -327,7 +327,7 @@ def _encoded(path: str):
 def _narrow(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
     ship(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), kind
+    return spread(df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))), kind
 
 
 def sentencepiece_ids(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = tokenizer_path(MODEL)) -> DataFrame:

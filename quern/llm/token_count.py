@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import ship, tokenizer_path
+from quern.llm.common import ship, spread, tokenizer_path
 from quern.llm.spm import BYTE, MODEL, NORMAL, SPACE, Memo, read_model
 
 #: Fixed value of the library: what an unknown character scores below the worst piece.
@@ -112,4 +112,4 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ship(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     narrow = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(_counts(path), f"id {kind}, n_tokens long, score double").withColumnRenamed("id", id_col)
+    return spread(narrow).mapInArrow(_counts(path), f"id {kind}, n_tokens long, score double").withColumnRenamed("id", id_col)

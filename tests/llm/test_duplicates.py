@@ -158,3 +158,15 @@ def test_parts_follow_the_size(spark, monkeypatch):
     monkeypatch.setattr(common, "PARTITION_BYTES", 100)
     assert common.parts(df) == [80] and common.parts(df, 2) == [160]
     assert df.repartition(*common.parts(df), "id").rdd.getNumPartitions() == 80
+
+
+def test_spread_deals_out_small_files_only(spark, tmp_path, monkeypatch):
+    from quern.llm import common
+
+    spark.range(1000).coalesce(1).write.parquet(f"{tmp_path}/one")
+    one = spark.read.parquet(f"{tmp_path}/one")
+    cores = spark.sparkContext.defaultParallelism
+    assert common.spread(one).rdd.getNumPartitions() == cores and common.spread(one).count() == 1000
+    assert common.spread(spark.range(10)) is not None
+    monkeypatch.setattr(common, "PARTITION_BYTES", 10)
+    assert common.spread(one) is one
