@@ -25,6 +25,8 @@ MODEL = "piece_bpe_32k.model"
 SPACE, NORMAL, UNKNOWN, CONTROL, USER, BYTE = "▁", 1, 2, 3, 4, 6
 #: Words (and pairs of pieces) that a worker remembers before it starts anew.
 MEMORY = 250_000
+#: Characters of a word that is remembered.
+LONGEST = 64
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -71,7 +73,7 @@ def read_model(path: str) -> tuple[list[tuple[str, float, int]], dict, dict]:
 
 class Memo(dict):
     """Values by key, made when first asked for. Of more than `limit` keys, those go that have not
-    been asked for since the last time."""
+    been asked for since the last time. Texts of more than LONGEST characters are made each time."""
 
     def __init__(self, make, limit: int = MEMORY):
         self.make, self.limit, self.old = make, limit, {}
@@ -83,7 +85,8 @@ class Memo(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        self[key] = value
+        if not isinstance(key, str) or len(key) <= LONGEST:
+            self[key] = value
         return value
 
 
@@ -103,8 +106,12 @@ class MergeModel:
         self.byte_of = {k: b for b, k in self.bytes.items()}
         inner = [p for p in self.score if SPACE in p.lstrip(SPACE) or (p.startswith(SPACE * 2) and p.strip(SPACE))]
         ranked = [s for p, s in self.score.items() if p.strip(SPACE)]
+        self.runs = {len(p) for p in self.score if not p.strip(SPACE)}
+        of_runs = {s for p, s in self.score.items() if not p.strip(SPACE) and len(p) > 1}
         if inner or len(set(ranked)) < len(ranked) or any(kind == USER for _, _, kind in pieces):
             raise ValueError("pieces must not reach over words or share a score")
+        if SPACE not in self.score or len(of_runs) > 1 or of_runs and ranked and max(of_runs) >= min(ranked):
+            raise ValueError("pieces of space marks must score alike and least")
         self.text = ["" if kind == CONTROL else " ⁇ " if kind == UNKNOWN else text.replace(SPACE, " ") for text, _, kind in pieces]
         self.spines = {text: self._spines(text) for text in self.score if not text.startswith(SPACE * 2)}
         self.spines = {text: found for text, found in self.spines.items() if found}
@@ -212,7 +219,18 @@ class MergeModel:
             body = body[1:]
         else:
             marks -= 1
-        return [self.id[piece] for piece in self.merge(SPACE * marks)] + body
+        return [self.id[SPACE * n] for n in self.run(marks)] + body
+
+    def run(self, marks: int) -> list[int]:
+        """Lengths of the pieces of a run of space marks, which all score the same: the leftmost pair
+        that makes a piece is merged first. What lies on the stack has no such pair."""
+        stack: list[int] = []
+        for _ in range(marks):
+            stack.append(1)
+            while len(stack) > 1 and stack[-2] + stack[-1] in self.runs:
+                last = stack.pop()
+                stack[-1] += last
+        return stack
 
     def _word(self, part: str) -> str:
         """Joined ids of a chunk, or of the characters after a single mark; what they decode to is
@@ -220,18 +238,18 @@ class MergeModel:
         ids = self.chunk(part if part.startswith(SPACE) else SPACE + part)
         decoded = self.decode_part(ids)
         if decoded != (part.replace(SPACE, " ") if part.startswith(SPACE) else " " + part):
-            self.odd[part] = decoded
+            self.odd[part] = decoded  # only models that drop or change text put anything here
         return ",".join(map(str, ids))
 
     def chunks(self, text: str) -> list[str]:
         """A text cut before each run of space marks; nothing merges over these cuts."""
-        out, run = [], ""
+        out, marks = [], 0
         for part in (SPACE + text.replace(" ", SPACE)).split(SPACE)[1:]:
-            run += SPACE
+            marks += 1
             if part:
-                out.append(run + part)
-                run = ""
-        return [*out, run] if run else out
+                out.append(SPACE * marks + part)
+                marks = 0
+        return [*out, SPACE * marks] if marks else out
 
     def encode(self, text: str) -> list[int]:
         return [k for chunk in self.chunks(text) for k in self.chunk(chunk)] if text else []

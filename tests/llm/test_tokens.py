@@ -53,6 +53,23 @@ def test_sentencepiece_equals_library():
         assert own.decode(ids) == library.decode(ids), ids
 
 
+def test_runs_of_spaces_equal_library():
+    import sentencepiece
+
+    library, own = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(MODEL)), model()
+    for n in range(1, 140):
+        for text in (" " * n, "a" + " " * n + "b", " " * n + "é"):
+            assert own.encode(text) == library.encode(text), repr(text)
+
+
+def test_long_texts_without_words_take_linear_time():
+    for text in (" " * 200_000, "x" * 200_000, "日本" * 50_000, "\n" * 100_000):
+        model().digest(text)
+        counter().count(text)
+        encode(text)
+    assert all(len(word) <= 64 for word in model().word)
+
+
 def test_pair_test_equals_merging():
     own, r = model(), random.Random(5)
     pieces = list(own.spines)
