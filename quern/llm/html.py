@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
@@ -48,9 +49,13 @@ ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+
 NAME_PART = re.compile(r"[^\W\d_]+")
 
 
+#: Elements of a path.
+DEPTH = 64
+
+
 class Block(NamedTuple):
     text: str
-    path: tuple[tuple[str, str], ...]  # tag and attributes of each open element, outermost first
+    path: tuple[tuple[str, str], ...]  # tag and attributes of the innermost DEPTH open elements, outermost first
     linked: int  # characters in links
 
 
@@ -62,6 +67,7 @@ def blocks(page: str) -> list[Block]:
     """
     out: list[Block] = []
     open_: list[tuple[str, str]] = []
+    count: Counter[str] = Counter()  # of open elements by tag
     parts: list[tuple[str, bool]] = []
     path: tuple[tuple[str, str], ...] = ()
 
@@ -70,20 +76,23 @@ def blocks(page: str) -> list[Block]:
         if not raw:
             return
         if not path and not raw.isspace():
-            path = tuple(open_) or (("body", ""),)
-        parts.append((raw, any(tag == "a" for tag, _ in open_)))
+            path = tuple(open_[-DEPTH:]) or (("body", ""),)
+        parts.append((raw, count["a"] > 0))
 
     def flush() -> None:
         nonlocal path
         text = " ".join(unescape("".join(raw for raw, _ in parts)).split())
         if text:
-            out.append(Block(text, path or tuple(open_), sum(len(raw.strip()) for raw, link in parts if link)))
+            out.append(Block(text, path, sum(len(raw.strip()) for raw, link in parts if link)))
         parts.clear()
         path = ()
 
     def close(names, within=frozenset()) -> None:
+        if not any(count[name] for name in names):
+            return
         for k in range(len(open_) - 1, -1, -1):
             if open_[k][0] in names:
+                count.subtract(tag for tag, _ in open_[k:])
                 del open_[k:]
                 return
             if open_[k][0] in within:
@@ -115,6 +124,7 @@ def blocks(page: str) -> list[Block]:
         if name in VOID:
             continue
         open_.append((name, found["attributes"]))
+        count[name] += 1
         if name in RAW:
             end = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
             stop = end.start() if end else len(page)
@@ -151,7 +161,7 @@ def _element(tag: str, attributes: str) -> tuple[str, ...]:
 
 @lru_cache(20_000)
 def _path_vector(path: tuple[tuple[str, str], ...]) -> np.ndarray:
-    tokens = [token for tag, attributes in path[-64:] for token in _element(tag, attributes)]
+    tokens = [token for tag, attributes in path for token in _element(tag, attributes)]
     tokens.append("l:" + (path[-1][0] if path else ""))
     # what lies innermost decides most often, so it also has places of its own
     named = next((e for tag, attributes in reversed(path) if len(e := _element(tag, attributes)) > 1), ("",))

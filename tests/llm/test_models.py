@@ -153,8 +153,8 @@ def test_blocks():
 
 
 def test_blocks_take_linear_time():
-    for part in ("<", "<a", "<p title='", "<!--", "</", "<p>x", "<script>", "<div>", "&amp"):
-        blocks(part * 20_000 if part != "<div>" else part * 2000)
+    for part in ("<", "<a", "<p title='", "<!--", "</", "<p>x", "<script>", "<div>x", "<div></p>", "<a>y", '<a ">', "&amp"):
+        blocks(part * 50_000)
 
 
 def test_gradients():
