@@ -37,6 +37,16 @@ def test_byte_bpe_equals_tokenizers():
         assert encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_byte_bpe_of_long_white_space_equals_tokenizers():
+    library = byte_bpe()
+    for run in (" " * 1_100_000, "\n" * 1_100_000, "\u3000" * 1_100_000, " \t\r\n" * 300_000, "\x85\xa0" * 60_000 + "\u2003" * 10):
+        for text in (run, "a" + run, "a" + run + "b", run + ".5", "a" + run + "<|endoftext|>b" + run[:200_000] + " x"):
+            assert encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text[-20:])
+    for n in (99_999, 100_000, 100_001):
+        for text in ("a" + " " * n + "b", "\x1c" + " " * n + "\x1c" + " " * n + "\u200b"):
+            assert encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, n
+
+
 def test_sentencepiece_equals_library():
     import sentencepiece
 
