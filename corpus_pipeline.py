@@ -33,7 +33,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that was learned: those without any letter go."""
+    """Documents in a language that was learned (in any, if none was): those without any letter go."""
     return identified_rows(docs)
 
 

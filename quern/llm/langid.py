@@ -133,8 +133,12 @@ def _identified(shared, text_at: int):
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
-                lang, _ = _languages(shared.value, part.column(text_at).to_pylist())
-                yield part.filter(pa.array([found != UNKNOWN for found in lang], pa.bool_()))
+                texts = part.column(text_at).to_pylist()
+                if shared.value.languages:
+                    keep = [found != UNKNOWN for found in _languages(shared.value, texts)[0]]
+                else:  # nothing was learned, which is no fault of a text
+                    keep = [text is not None and has_letter(text) for text in texts]
+                yield part.filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -189,6 +193,7 @@ def identified_rows(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS
 ) -> DataFrame:
     """The rows of df that `identify_language` gives a learned language, with all of their columns, in one
-    pass without a shuffle. Ambiguous rows stay: a doubt between languages is no fault of a text."""
+    pass without a shuffle. Ambiguous rows stay: a doubt between languages is no fault of a text. Where no
+    language was learned, all rows whose text has a letter stay."""
     shared = df.sparkSession.sparkContext.broadcast(fit_languages(df, id_col, text_col, lang_col, train_rows))
     return spread(df).mapInArrow(_identified(shared, df.columns.index(text_col)), df.schema)

@@ -69,6 +69,12 @@ def test_null_ids_and_more_columns(spark, folder):
         assert stage(spark, docs, folder).columns == docs.columns, name
 
 
+def test_language_keeps_letters_where_nothing_is_learned(spark, folder):
+    rows = [(1, "Some words."), (2, "12 34"), (3, None), (4, ""), (5, "é")]
+    docs = spark.createDataFrame([(k, text, None, "s", 1) for k, text in rows], COLUMNS)
+    assert {r.doc_id for r in STAGES["language"](spark, docs, folder).collect()} == {1, 5}
+
+
 def test_run_applies_the_stages(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES:
