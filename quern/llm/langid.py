@@ -19,8 +19,10 @@ from quern.llm.common import LETTER, ship, spread, stored
 
 #: Labelled rows of each language that a model is fitted on at most (about; chosen by a hash of the id).
 TRAIN_ROWS = 1000
-#: Languages at most (the most frequent labels), n-gram buckets, steps of fitting and their penalty.
-LANGUAGES, BUCKETS, STEPS, PENALTY = 200, 2048, 150, 1e-3
+#: Languages that have TRAIN_ROWS rows each (more share as many rows), and at most: more labels are an error.
+LANGUAGES, MOST = 200, 10_000
+#: n-gram buckets, steps of fitting and their penalty.
+BUCKETS, STEPS, PENALTY = 2048, 150, 1e-3
 #: Rows whose crc32(id as text) leaves this remainder are held out.
 FOLDS, HELD_OUT = 4, 2
 #: A prediction is ambiguous if its score is less.
@@ -58,7 +60,11 @@ def codewords(languages: int, seed: int = 7) -> np.ndarray:
     best, apart = None, -1
     for _ in range(50):
         code = rng.choice([-1.0, 1.0], (languages, length))
-        gap = ((length - code @ code.T) / 2 + length * np.eye(languages)).min()
+        gap = length
+        for lo in range(0, languages, 1000):
+            near = (length - code[lo : lo + 1000] @ code.T) / 2
+            near[np.arange(len(near)), np.arange(lo, lo + len(near))] = length
+            gap = min(gap, near.min())
         if gap > apart and (np.abs(code.sum(0)) < languages).all():
             best, apart = code, gap
     return best
@@ -91,7 +97,7 @@ class CodeClassifier:
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the language with the least loss (the first of equal ones), and its score."""
         margin = np.clip((x - self.mean) @ self.weight + self.bias, -30, 30).astype(np.float64)
-        loss = np.log1p(np.exp(-margin[:, None, :] * self.code[None])).sum(2)
+        loss = np.log1p(np.exp(-margin)) @ (self.code > 0).T.astype(float) + np.log1p(np.exp(margin)) @ (self.code < 0).T.astype(float)
         share = np.exp(loss.min(1, keepdims=True) - loss)
         best = loss.argmin(1)
         return best, share.max(1) / share.sum(1)
@@ -148,23 +154,26 @@ def _remainder(column: str) -> Column:
 
 
 def fit_languages(df: DataFrame, id_col: str, text_col: str, lang_col: str, train_rows: int) -> CodeClassifier:
-    """A classifier fitted on train_rows or so of each language's rows that are not held out."""
+    """A classifier fitted on train_rows or so of each language's rows that are not held out; more than
+    LANGUAGES languages share the rows of so many. All labels are learned, or too many raise ValueError."""
     ship(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     narrow = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     known = narrow.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (_remainder("id") != HELD_OUT))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    share = {r["lang"]: min(1.0, train_rows / r["count"]) for r in counts}
-    sample = known.limit(0).mapInArrow(_sample, f"id {kind}, lang string, x binary")
-    if share:
-        pairs = [F.lit(v) for item in share.items() for v in item]
-        draw = F.pmod(F.xxhash64("id", "lang"), F.lit(1_000_000)) < F.coalesce(F.create_map(*pairs)[F.col("lang")], F.lit(0.0)) * 1_000_000
-        sample = spread(known.filter(draw)).mapInArrow(_sample, f"id {kind}, lang string, x binary")
-    sample = stored(sample, "languages")
-    train = sample.orderBy("lang", "id").limit(2 * train_rows * max(len(share), 1)).select("lang", "x").toArrow()
+    counts = stored(known.groupBy("lang").count(), "labels")
+    found = counts.count()
+    if found > MOST:
+        raise ValueError(f"{found} different labels in {lang_col}; {MOST} languages at most can be learned")
+    total = train_rows * min(found, LANGUAGES)
+    share = F.least(F.lit(1.0), F.lit(float(total)) / F.lit(max(found, 1)) / F.col("count"))
+    draw = F.pmod(F.xxhash64("id", "lang"), F.lit(1_000_000)) < share * 1_000_000
+    drawn = spread(known).join(F.broadcast(counts), "lang").filter(draw).select("id", "text", "lang")
+    sample = stored(drawn.mapInArrow(_sample, f"id {kind}, lang string, x binary"), "languages")
+    train = sample.orderBy("lang", "id").limit(2 * max(total, 1)).select("lang", "x").toArrow()
     names = train["lang"].to_pylist()
     languages = sorted(set(names))
-    y = np.array([languages.index(name) for name in names], np.int64)
+    place = {name: k for k, name in enumerate(languages)}
+    y = np.array([place[name] for name in names], np.int64)
     x = np.empty((len(names), BUCKETS), np.float32)
     for k, row in enumerate(train["x"]):
         x[k] = np.frombuffer(row.as_buffer(), np.float16)

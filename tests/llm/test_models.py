@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from quern.llm import langid
 from quern.llm.html import Labeller, blocks, extract_main_text, is_marked, labeller, main_texts, padded, vectors
 from quern.llm.html_pages import training_pages
 from quern.llm.langid import BUCKETS, CodeClassifier, codewords, has_letter, identify_language
@@ -31,6 +32,19 @@ def test_codewords_differ(n):
     assert (np.abs(code.sum(0)) < n).all()
 
 
+def test_more_languages_than_have_all_rows(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    words = [["".join(chr(97 + c) for c in r.integers(0, 26, 6)) for _ in range(12)] for _ in range(230)]
+    # the last ones are rarest
+    rows = [(k * 100 + j, " ".join(words[k][(j + i) % 12] for i in range(10)), f"l{k:03}") for k in range(230) for j in range(6 + (k < 200))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = identify_language(df).join(df, "doc_id").collect()
+    assert len(got) == len(rows) and sum(g.lang == g.lang_pred for g in got if g.lang >= "l200") >= 175
+    monkeypatch.setattr(langid, "MOST", 229)
+    with pytest.raises(ValueError, match="230 different labels"):
+        identify_language(df)
+
+
 def test_wrong_bits_are_corrected():
     model = CodeClassifier(np.zeros((0, BUCKETS), np.float32), np.zeros(0, np.int64), ["a"])
     assert model.predict(np.zeros((2, BUCKETS), np.float32))[0].tolist() == [0, 0]
