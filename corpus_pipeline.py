@@ -9,7 +9,7 @@ operators define; an empty table passes through as one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.common import scratch, stored, table
@@ -20,11 +20,30 @@ from quern.llm.quality import good_rows
 from quern.llm.simhash import near_duplicates
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows of docs whose id is not among those dropped; rows without an id, which no id can name, stay.
-    Few are dropped, so Spark can send their ids to the rows; texts are shuffled only where it can't."""
-    ids = dropped.select(F.col("doc_id").alias("_dropped_id")).distinct()
-    return docs.join(ids, docs["doc_id"] == ids["_dropped_id"], "left_anti")
+def _text_key() -> Column:
+    """SHA-256 of a text's bytes (null: of a null text). Operators decide alike for rows of equal id and text."""
+    return F.unhex(F.sha2(F.col("text").cast("string").cast("binary"), 256))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """What a dedup operator reads: the id, the text and the text's key, which it carries along."""
+    return docs.select("doc_id", "text", _text_key().alias("text_key"))
+
+
+def _without(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows of docs but for those not kept in decided (doc_id, text_key, kept), row by row.
+
+    An id none of whose rows is kept names them all; of ids with kept rows too, and of null ids, the text's
+    key says which rows go (null equals null). Few are dropped, so Spark can send these narrow tables to
+    the rows; texts are shuffled only where it can't."""
+    decided = stored(decided.select("doc_id", "text_key", "kept"), "decided")
+    ids = stored(decided.filter("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("any"), F.bool_and("kept").alias("all")).filter("not all"), "dropped")
+    gone = decided.filter("not kept").select("doc_id", "text_key")
+    some = gone.join(ids.filter("any").select("doc_id"), "doc_id", "left_semi").union(gone.filter("doc_id is null"))
+    whole = stored(ids.filter("not any").select(F.col("doc_id").alias("_id")), "dropped-ids")
+    some = stored(some.distinct().toDF("_id", "_key"), "dropped-rows")
+    left = docs.join(whole, docs["doc_id"] == whole["_id"], "left_anti")
+    return left.join(some, docs["doc_id"].eqNullSafe(some["_id"]) & _text_key().eqNullSafe(some["_key"]), "left_anti")
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,13 +58,13 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_equals(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that are equal but for white space, the longest (then the smallest id)."""
-    return _without(docs, stored(exact_dedup(docs).filter("not kept").select("doc_id"), "copies"))
+    return _without(docs, exact_dedup(_keyed(docs), keep=("text_key",)))
 
 
 def one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near duplicates, the smallest id."""
-    copies = near_duplicates(docs).filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return _without(docs, stored(copies.select("doc_id"), "near-copies"))
+    found = near_duplicates(_keyed(docs), keep=("text_key",))
+    return _without(docs, found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,8 +31,9 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha = [hashlib.sha256(raw.translate(None, SPACE)).digest() for raw in byte_rows(text)]
         key = np.frombuffer(b"".join(s[:8] for s in sha), "<i8")
         size = pc.fill_null(pc.utf8_length(text), 0).cast(pa.int64())
+        rest, names = batch.columns[2:], batch.schema.names[2:]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sha, pa.binary()), pa.array(key), size], ["id", "sha", "h", "size"]
+            [batch.column(0), pa.array(sha, pa.binary()), pa.array(key), size, *rest], ["id", "sha", "h", "size", *names]
         )
 
 
@@ -79,9 +80,14 @@ def _best() -> Column:
 
 
 def exact_dedup(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS, least: int = LEAST
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    counters: int = COUNTERS,
+    least: int = LEAST,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per input row: the id column, keep_id, group_size, kept, text_sha256.
+    """One row per input row: the id column, keep_id, group_size, kept, text_sha256, then the columns in `keep`.
 
     A null text counts as empty; all texts without characters are one group. Ties in length go to
     the smallest id, null ids last. Rows that repeat the winner's id are that document again and
@@ -89,8 +95,10 @@ def exact_dedup(
     """
     ship(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
-    narrow = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = stored(spread(narrow).mapInArrow(_digests, f"id {kind}, sha binary, h long, size long"), "digests")
+    own = [f"k{i}" for i in range(len(keep))]
+    narrow = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(k) for c, k in zip(keep, own)))
+    more = "".join(f", {k} {df.schema[c].dataType.simpleString()}" for c, k in zip(keep, own))
+    rows = stored(spread(narrow).mapInArrow(_digests, f"id {kind}, sha binary, h long, size long{more}"), "digests")
 
     summary = stored(rows.select("h").mapInArrow(_summaries(counters), "h long, n long, rows long, off long"), "counters")
     total, error = summary.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("off"), F.lit(0))).first()
@@ -107,11 +115,11 @@ def exact_dedup(
         "frequent",
     )
     all_of = Window.partitionBy("sha")
-    here = rows.join(F.broadcast(heavy), "sha").select("id", "sha", "keep_id", "group_size")
+    here = rows.join(F.broadcast(heavy), "sha").select("id", "sha", "keep_id", "group_size", *own)
     moved = (
-        rows.select("id", "sha", "size")
+        rows.select("id", "sha", "size", *own)
         .join(F.broadcast(heavy.select("sha")), "sha", "left_anti")
-        .select("id", "sha", F.min(_best()).over(all_of)["c"].alias("keep_id"), F.count(F.lit(1)).over(all_of).alias("group_size"))
+        .select("id", "sha", F.min(_best()).over(all_of)["c"].alias("keep_id"), F.count(F.lit(1)).over(all_of).alias("group_size"), *own)
     )
     return here.unionByName(moved).select(
         F.col("id").alias(id_col),
@@ -119,4 +127,5 @@ def exact_dedup(
         "group_size",
         F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
+        *(F.col(k).alias(c) for c, k in zip(keep, own)),
     )

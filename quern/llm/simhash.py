@@ -51,7 +51,8 @@ def _fingerprints(words: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(raw, words, seed) for raw in byte_rows(batch.column(1))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["id", "fp"])
+            names = ["id", "fp", *batch.schema.names[2:]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], names)
 
     return run
 
@@ -239,8 +240,9 @@ def near_duplicates(
     words: int = SHINGLE,
     distance: int = DISTANCE,
     bucket_rows: int = BUCKET_ROWS,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per input row: the id column, fingerprint (16 hex digits), component_id.
+    """One row per input row: the id column, fingerprint (16 hex digits), component_id, then the columns in `keep`.
 
     component_id is the smallest id that can be reached over links of at most `distance` bits, the
     row's own included. Null, empty and blank texts have fingerprint zero and are linked like any
@@ -249,8 +251,10 @@ def near_duplicates(
     """
     ship(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
-    narrow = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    docs = stored(spread(narrow).mapInArrow(_fingerprints(words, SEED), f"id {kind}, fp long"), "fingerprints")
+    own = [f"k{i}" for i in range(len(keep))]
+    narrow = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(k) for c, k in zip(keep, own)))
+    more = "".join(f", {k} {df.schema[c].dataType.simpleString()}" for c, k in zip(keep, own))
+    docs = stored(spread(narrow).mapInArrow(_fingerprints(words, SEED), f"id {kind}, fp long{more}"), "fingerprints")
     classes = stored(docs.groupBy("fp").agg(F.min("id").alias("least")), "classes")
     links = stored(fingerprint_links(classes, distance, bucket_rows), "links")
     labels = components(links)
@@ -262,5 +266,8 @@ def near_duplicates(
         classes.join(joined, "fp", "left").select("fp", F.coalesce("whole", "least").alias("component_id")), "resolved"
     )
     return docs.join(resolved, "fp").select(
-        F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+        F.col("id").alias(id_col),
+        F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+        "component_id",
+        *(F.col(k).alias(c) for c, k in zip(keep, own)),
     )

@@ -69,6 +69,15 @@ def test_null_ids_and_more_columns(spark, folder):
         assert stage(spark, docs, folder).columns == docs.columns, name
 
 
+def test_dedup_drops_rows_and_not_ids(spark, folder):
+    a, b, c = ("".join(f"{w}{k} " for k in range(60)) for w in ("one", "other", "third"))
+    rows = [(1, a), (5, a), (5, b), (None, a), (None, c), (None, None), (7, c + " "), (8, "")]
+    docs = spark.createDataFrame([(k, text, "en", "s", 1) for k, text in rows], COLUMNS)
+    want = Counter([(1, a), (5, b), (7, c + " "), (8, "")])
+    for name in ("exact_dedup", "near_dedup"):
+        assert Counter((r.doc_id, r.text) for r in STAGES[name](spark, docs, folder).collect()) == want, name
+
+
 def test_language_keeps_letters_where_nothing_is_learned(spark, folder):
     rows = [(1, "Some words."), (2, "12 34"), (3, None), (4, ""), (5, "é")]
     docs = spark.createDataFrame([(k, text, None, "s", 1) for k, text in rows], COLUMNS)
