@@ -23,7 +23,7 @@ from quern.llm.bytebpe import VOCABULARY, encode
 from quern.llm.common import parts, ranges, ship, stored, tokenizer_path
 
 MAGIC, TERMINALS, SYMBOLS = b"RPG1", 50257, 1 << 16
-BLOCK, ROUNDS, LEAST, END = 1 << 20, 6, 32, 2
+BLOCK, LEAST, END = 1 << 20, 32, 2
 #: Slots (a power of two) of the table in which a round looks up its pairs; colliding pairs wait.
 SLOT_BITS = 16
 
@@ -52,9 +52,7 @@ def compress(ids: np.ndarray, sizes: np.ndarray) -> bytes:
     last[np.cumsum(sizes)[sizes > 0] - 1] = True
     width = np.ones(SYMBOLS, np.int64)
     rules, rounds, top = [], [], TERMINALS
-    for _ in range(ROUNDS):
-        if len(symbols) < 2 or top == SYMBOLS:
-            break
+    while len(symbols) > 1 and top < SYMBOLS:
         code = symbols[:-1] << np.uint32(16)
         code |= symbols[1:]
         inner = code[~last[:-1]]

@@ -12,7 +12,7 @@ import pytest
 from quern.llm.bytebpe import encode
 from quern.llm.common import TOKENIZER_DIR, tokenizer_path
 from quern.llm.packing import pack_documents, place_lengths, slots
-from quern.llm.repair import TERMINALS, Block, compress, read_ids, write_ids
+from quern.llm.repair import LEAST, TERMINALS, Block, compress, read_ids, write_ids
 from quern.llm.spm import BYTE, MODEL, NORMAL, model, read_model, sentencepiece_digests, sentencepiece_ids
 from quern.llm.token_count import UnigramCounter, counter, token_counts
 
@@ -196,3 +196,11 @@ def test_pack_documents(edge, edge_rows, nothing):
             end += length
         assert end <= 1024
     assert pack_documents(nothing).count() == 0
+
+
+def test_pairs_are_replaced_until_none_is_frequent():
+    ids = np.tile(np.random.default_rng(2).integers(0, TERMINALS, 1000).astype(np.uint16), 200)
+    block = Block(compress(ids, np.array([len(ids)])))
+    assert np.array_equal(block.all_ids(), ids) and block.widths.max() > 64 and len(block.symbols) < len(ids) // 64
+    symbols = block.symbols.tolist()
+    assert max(Counter(zip(symbols, symbols[1:])).values()) < LEAST
