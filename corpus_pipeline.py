@@ -62,7 +62,7 @@ def one_of_equals(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near duplicates, the smallest id."""
+    """Of near duplicates as op7_simhash defines them, the smallest id; short near copies pass (README)."""
     found = near_duplicates(_keyed(docs), keep=("text_key",))
     return _without(docs, found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
