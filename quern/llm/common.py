@@ -123,3 +123,27 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 LETTER = re.compile(r"[^\W\d_]")
+
+#: Values that a worker remembers before it forgets the older ones.
+MEMORY = 250_000
+#: Characters of a text that is remembered.
+LONGEST = 64
+
+
+class Memo(dict):
+    """Values by key, made when first asked for. Of more than `limit` keys, those go that have not
+    been asked for since the last time. Texts of more than LONGEST characters are made each time."""
+
+    def __init__(self, make, limit: int = MEMORY):
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, key):
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if not isinstance(key, str) or len(key) <= LONGEST:
+            self[key] = value
+        return value

@@ -3,18 +3,24 @@
 A page is cut into blocks: runs of text between tags that start or end a block. Each block becomes a
 vector of its hashed tag path (tags, classes, ids and roles of what is open), of its hashed words and
 of a few numbers. A bidirectional LSTM reads the blocks of a page in order, so what a block is
-taken for depends on all others. It is trained here, on generated pages of many layouts, and runs as
-numpy over groups of pages of similar length.
+taken for depends on all others. It was trained here, on generated pages of many layouts
+(`train_labeller.py`), and runs as numpy over groups of pages of similar length.
+
+A page takes time in proportion to its length: what the open elements add up to is kept up to date
+tag by tag. Blocks with equal paths share one path vector, and a long page is read in chunks
+of which only the network's state and one number for each block are kept.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
+from itertools import chain
+from pathlib import Path
 from typing import NamedTuple
 
 import numpy as np
@@ -22,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import ship, spread
+from quern.llm.common import Memo, ship, slices, spread
 
 #: Fixed values of the format: elements that start a block, hold no content, or hold raw text.
 BLOCKS = frozenset(
@@ -45,58 +51,146 @@ TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attributes>(?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>|<[!?/][^>]*+(?:>|\Z)|<[a-zA-Z][^>]*+\Z""",
     re.S,
 )
-ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""")
+ATTRIBUTE = re.compile(r"""(?<![^\s=/"'>])([^\s=/"'>]++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"']++))""")
 NAME_PART = re.compile(r"[^\W\d_]+")
 
+PATH, WORDS, NUMBERS, HIDDEN = 256, 32, 9, 24
+INPUT = PATH + WORDS + NUMBERS
+#: Times that a place of a path vector counts at most, and open elements that its depth counts.
+MOST, DEEPEST = 2, 20
+
+
+def _spot(token: str, size: int) -> int:
+    """A hashed place below 2 * size; those from size on count as -1 at place - size."""
+    return zlib.crc32(token.encode("utf-8", "surrogatepass")) % (2 * size)
+
+
+_words = Memo(lambda word: _spot(word, WORDS))
+
 
-#: Elements of a path.
-DEPTH = 64
+class Element(NamedTuple):
+    tag: str
+    places: tuple[tuple[int, int], ...]  # of its tokens in a path vector, and their signs
+    names: tuple[str, ...]  # parts of its class, id and role
+    mark: str  # of generated pages
 
 
-class Block(NamedTuple):
-    text: str
-    path: tuple[tuple[str, str], ...]  # tag and attributes of the innermost DEPTH open elements, outermost first
-    linked: int  # characters in links
+def _element(tag: str, attributes: str) -> Element:
+    return _read_element(tag, attributes) if len(tag) + len(attributes) <= 1000 else _read_element.__wrapped__(tag, attributes)
 
 
-def blocks(page: str) -> list[Block]:
+@lru_cache(20_000)
+def _read_element(tag: str, attributes: str) -> Element:
+    found = {key.lower(): a or b or c for key, a, b, c in reversed(ATTRIBUTE.findall(attributes))} if attributes else {}
+    names = tuple("c:" + part.lower() for key in ("class", "id", "role") for part in NAME_PART.findall(found.get(key, "")))
+    spots = [_spot(token, PATH) for token in ("t:" + tag, *names)]
+    return Element(tag, tuple((s % PATH, 1 if s < PATH else -1) for s in spots), names, found.get("data-main", ""))
+
+
+class Open:
+    """The open elements at a place of a page, and what they add up to.
+
+    Every element is pushed and popped once, and each takes a few steps, however many are open."""
+
+    def __init__(self):
+        self.elements: list[Element] = []
+        self.at: dict[str, list[int]] = {}  # places of open elements by tag, innermost last
+        self.sums, self.clipped = [0] * PATH, bytearray([MOST]) * PATH
+        self.named: list[tuple[str, ...]] = [()]
+        self.sections, self.marks = [""], [""]
+
+    def _add(self, element: Element, by: int) -> None:
+        for place, sign in element.places:
+            self.sums[place] += by * sign
+            self.clipped[place] = MOST + max(-MOST, min(MOST, self.sums[place]))
+
+    def push(self, tag: str, attributes: str) -> None:
+        element = _element(tag, attributes)
+        self.at.setdefault(tag, []).append(len(self.elements))
+        self.elements.append(element)
+        self._add(element, 1)
+        if element.names:
+            self.named.append(element.names)
+        if tag in SECTIONS:
+            self.sections.append(tag)
+        if element.mark:
+            self.marks.append(element.mark)
+
+    def pop(self) -> None:
+        element = self.elements.pop()
+        self.at[element.tag].pop()
+        self._add(element, -1)
+        if element.names:
+            self.named.pop()
+        if element.tag in SECTIONS:
+            self.sections.pop()
+        if element.mark:
+            self.marks.pop()
+
+    def innermost(self, tags) -> int:
+        return max((places[-1] for tag in tags if (places := self.at.get(tag))), default=-1)
+
+    def close(self, tags, within=()) -> None:
+        """Close the innermost of tags and all in it, unless one of `within` is open further in."""
+        place = self.innermost(tags)
+        if place >= 0 and place > self.innermost(within):
+            while len(self.elements) > place:
+                self.pop()
+
+    def path(self) -> tuple:
+        """What block vectors say of the open elements; text outside of all counts as in the body."""
+        if not self.elements:
+            self.push("body", "")
+            try:
+                return self.path()
+            finally:
+                self.pop()
+        tag, deep = self.elements[-1].tag, min(len(self.elements), DEEPEST)
+        return bytes(self.clipped), tag, self.named[-1], self.sections[-1], deep, self.marks[-1]
+
+
+class Page(NamedTuple):
+    texts: list[str]
+    linked: array  # characters in links
+    path: array  # which of the paths
+    paths: list[tuple]
+
+
+def blocks(page: str) -> Page:
     """The blocks of a page in order, with character references decoded and white space collapsed.
 
-    Unclosed elements are closed as browsers do for paragraphs, items and cells; end tags without
-    a start are passed over; a tag or comment that the end of the page cuts is no text.
+    References are decoded in each run of text between tags, never over a tag. Unclosed elements
+    are closed as browsers do for paragraphs, items and cells; end tags without a start are
+    passed over; a tag or comment that the end of the page cuts is no text.
     """
-    out: list[Block] = []
-    open_: list[tuple[str, str]] = []
-    count: Counter[str] = Counter()  # of open elements by tag
-    parts: list[tuple[str, bool]] = []
-    path: tuple[tuple[str, str], ...] = ()
+    out = Page([], array("q"), array("q"), [])
+    numbers: dict[tuple, int] = {}
+    open_ = Open()
+    parts: list[str] = []
+    links, path = 0, -1
 
     def add(raw: str) -> None:
-        nonlocal path
+        nonlocal links, path
         if not raw:
             return
-        if not path and not raw.isspace():
-            path = tuple(open_[-DEPTH:]) or (("body", ""),)
-        parts.append((raw, count["a"] > 0))
+        text = unescape(raw) if "&" in raw else raw
+        if path < 0 and not text.isspace():
+            key = open_.path()
+            path = numbers.setdefault(key, len(numbers))
+            if path == len(out.paths):
+                out.paths.append(key)
+        if open_.at.get("a"):
+            links += len(text.strip())
+        parts.append(text)
 
     def flush() -> None:
-        nonlocal path
-        text = " ".join(unescape("".join(raw for raw, _ in parts)).split())
-        if text:
-            out.append(Block(text, path, sum(len(raw.strip()) for raw, link in parts if link)))
+        nonlocal links, path
+        if path >= 0 and (text := " ".join("".join(parts).split())):
+            out.texts.append(text)
+            out.linked.append(links)
+            out.path.append(path)
         parts.clear()
-        path = ()
-
-    def close(names, within=frozenset()) -> None:
-        if not any(count[name] for name in names):
-            return
-        for k in range(len(open_) - 1, -1, -1):
-            if open_[k][0] in names:
-                count.subtract(tag for tag, _ in open_[k:])
-                del open_[k:]
-                return
-            if open_[k][0] in within:
-                return
+        links, path = 0, -1
 
     at = 0
     while at < len(page):
@@ -115,82 +209,85 @@ def blocks(page: str) -> list[Block]:
         if name in BLOCKS:
             flush()
         if found["end"]:
-            close({name})
+            open_.close((name,))
             continue
         if name in CLOSES:
-            close(*CLOSES[name])
+            open_.close(*CLOSES[name])
         elif name in BLOCKS:
-            close({"p"}, IN_P)
+            open_.close(("p",), IN_P)
         if name in VOID:
             continue
-        open_.append((name, found["attributes"]))
-        count[name] += 1
+        open_.push(name, found["attributes"])
         if name in RAW:
-            end = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
+            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
             stop = end.start() if end else len(page)
             if name not in UNSEEN:
                 add(page[at:stop])
                 flush()
-            close({name})
+            open_.close((name,))
             tail = page.find(">", stop)
             at = len(page) if tail < 0 else tail + 1
     flush()
     return out
 
 
-PATH, WORDS, NUMBERS, HIDDEN = 256, 32, 9, 24
-INPUT = PATH + WORDS + NUMBERS
-
-
-def _spot(token: str, size: int) -> int:
-    """A hashed place below 2 * size; those from size on count as -1 at place - size."""
-    return zlib.crc32(token.encode("utf-8", "surrogatepass")) % (2 * size)
+def path_vectors(paths: list[tuple]) -> np.ndarray:
+    out = np.empty((len(paths), PATH), np.float32)
+    for k, (clipped, tag, names, section, _, _) in enumerate(paths):
+        row = np.frombuffer(clipped, np.uint8).astype(np.float32) - MOST
+        # what lies innermost decides most often, so it also has places of its own
+        for token in ("l:" + tag, "s:" + section, *("n:" + name for name in names)):
+            spot = _spot(token, PATH)
+            row[spot % PATH] += 1 if spot < PATH else -1
+        out[k] = np.clip(row, -MOST, MOST)
+    return out
 
 
-_word_spot = lru_cache(200_000)(lambda word: _spot(word, WORDS))
+def text_vectors(page: Page, at_once: int = 4096) -> np.ndarray:
+    """Hashed words of each block and its numbers."""
+    total = len(page.texts)
+    out = np.empty((total, WORDS + NUMBERS), np.float32)
+    deep = np.array([path[4] for path in page.paths], np.float32)
+    for lo in range(0, total, at_once):
+        texts = page.texts[lo : lo + at_once]
+        n = len(texts)
+        words = [text.lower().split() for text in texts]
+        count = np.fromiter(map(len, words), np.int64, n)
+        spots = np.fromiter(map(_words.__getitem__, chain.from_iterable(words)), np.int64, int(count.sum()))
+        seen = np.bincount(np.repeat(np.arange(n) * 2 * WORDS, count) + spots, minlength=n * 2 * WORDS).reshape(n, 2, WORDS)
+        size = np.fromiter(map(len, texts), np.float64, n)
+        stops = np.array([sum(map(text.count, ".,;:!?")) for text in texts])
+        here = slice(lo, lo + n)
+        out[here, :WORDS] = (seen[:, 0] - seen[:, 1]) / (2 * np.sqrt(np.maximum(count, 1)))[:, None]
+        out[here, WORDS:] = np.stack(
+            [
+                np.log1p(size) / 6, np.log1p(count) / 5, np.minimum(np.array(page.linked[here]) / size, 1), np.minimum(stops / np.maximum(count, 1), 1),
+                [text[-1] in ".!?" for text in texts], np.arange(lo, lo + n) / total, deep[np.array(page.path[here])] / 10,
+                [text[0].isupper() for text in texts], np.full(n, 1 / total),
+            ],
+            1,
+        )
+    return out
 
 
-@lru_cache(20_000)
-def _element(tag: str, attributes: str) -> tuple[str, ...]:
-    tokens = ["t:" + tag]
-    for key, a, b, c in ATTRIBUTE.findall(attributes):
-        if key.lower() in ("class", "id", "role"):
-            tokens += ("c:" + part.lower() for part in NAME_PART.findall(a or b or c))
-    return tuple(tokens)
+def vectors(page: Page) -> np.ndarray:
+    """The vectors of all blocks of a page, as the labeller is trained on."""
+    return np.concatenate([path_vectors(page.paths)[np.array(page.path, np.int64)], text_vectors(page)], 1)
 
 
-@lru_cache(20_000)
-def _path_vector(path: tuple[tuple[str, str], ...]) -> np.ndarray:
-    tokens = [token for tag, attributes in path for token in _element(tag, attributes)]
-    tokens.append("l:" + (path[-1][0] if path else ""))
-    # what lies innermost decides most often, so it also has places of its own
-    named = next((e for tag, attributes in reversed(path) if len(e := _element(tag, attributes)) > 1), ("",))
-    tokens += ("n:" + token for token in named[1:])
-    tokens.append("s:" + next((tag for tag, _ in reversed(path) if tag in SECTIONS), ""))
-    spots = np.bincount([_spot(token, PATH) for token in tokens], minlength=2 * PATH)
-    return np.clip(spots[:PATH] - spots[PATH:], -2, 2).astype(np.float32)
-
-
-def vectors(page: list[Block]) -> np.ndarray:
-    out = np.zeros((len(page), INPUT), np.float32)
-    for k, block in enumerate(page):
-        out[k, :PATH] = _path_vector(block.path)
-        words = block.text.lower().split()
-        spots = np.bincount(list(map(_word_spot, words)), minlength=2 * WORDS)
-        out[k, PATH : PATH + WORDS] = (spots[:WORDS] - spots[WORDS:]) / (2 * np.sqrt(len(words)))
-        n, text = len(block.text), block.text
-        stops = sum(map(text.count, ".,;:!?"))
-        out[k, PATH + WORDS :] = (
-            np.log1p(n) / 6, np.log1p(len(words)) / 5, min(block.linked / n, 1), min(stops / max(len(words), 1), 1),
-            text[-1] in ".!?", k / len(page), min(len(block.path), 20) / 10, text[0].isupper(), 1 / len(page),
-        )
-    return out
+def is_marked(page: Page) -> np.ndarray:
+    """Which blocks a generated page marks as main text: the innermost mark counts."""
+    return np.array([page.paths[k][5] == "1" for k in page.path], np.float32)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+#: Blocks times pages that are labelled at once.
+AT_ONCE = 4096
+
+
 class Labeller:
     """Bidirectional LSTM over block vectors with one logistic output for each block."""
 
@@ -203,34 +300,55 @@ class Labeller:
             self.p["b" + side] = np.repeat([0.0, 1.0, 0.0, 0.0], HIDDEN)  # in, forget, out, candidate
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
-    def _run(self, x: np.ndarray, live: np.ndarray, side: str, keep: list | None = None) -> np.ndarray:
-        """Hidden states (time, page, HIDDEN); padding passes states on."""
-        steps, pages, _ = x.shape
-        pre = x @ self.p["x" + side] + self.p["b" + side]
-        h = c = np.zeros((pages, HIDDEN), np.float32)
+    def _run(self, pre: np.ndarray, live: np.ndarray, side: str, state: tuple | None = None, keep: list | None = None) -> tuple[np.ndarray, tuple]:
+        """Hidden states (time, page, HIDDEN) from projected inputs, and the state that is left; padding
+        passes the state on."""
+        steps, pages, _ = pre.shape
+        h, c = state or (np.zeros((pages, HIDDEN), np.float32),) * 2
         out = np.empty((steps, pages, HIDDEN), np.float32)
         for t in range(steps) if side == "f" else range(steps - 1, -1, -1):
             z = pre[t] + h @ self.p["h" + side]
             gates, new = _sigmoid(z[:, : 3 * HIDDEN]), np.tanh(z[:, 3 * HIDDEN :])
-            i, f, o = np.split(gates, 3, 1)
+            i, f, o = gates[:, :HIDDEN], gates[:, HIDDEN : 2 * HIDDEN], gates[:, 2 * HIDDEN :]
             on = live[t][:, None]
             cell = np.where(on, f * c + i * new, c)
             squashed = np.tanh(cell)
-            state = np.where(on, o * squashed, h)
+            next_h = np.where(on, o * squashed, h)
             if keep is not None:
                 keep.append((t, i, f, o, new, c, h, squashed, on))
-            h, c = state, cell
+            h, c = next_h, cell
             out[t] = h
-        return out
-
-    def score(self, x: np.ndarray, live: np.ndarray) -> np.ndarray:
-        """Probability that a block is main text; x is (time, page, INPUT)."""
-        both = np.concatenate([self._run(x, live, "f"), self._run(x, live, "b")], 2)
-        return _sigmoid(both @ self.p["out"] + self.p["out_b"])[..., 0]
+        return out, (h, c)
+
+    def score(self, pages: list[Page]) -> list[np.ndarray]:
+        """Probability that a block is main text, for each block of each page. Several pages must hold
+        AT_ONCE blocks at most, with padding; a page by itself can be of any length."""
+        sizes = np.array([len(page.texts) for page in pages])
+        steps, first = int(sizes.max(initial=0)), np.cumsum([0, *(len(page.paths) for page in pages)])
+        time = np.concatenate([np.arange(n) for n in sizes])
+        column = np.repeat(np.arange(len(pages)), sizes)
+        known = path_vectors([path for page in pages for path in page.paths])
+        at = np.concatenate([np.array(page.path, np.int64) + k for page, k in zip(pages, first)])
+        rest = np.concatenate([text_vectors(page) for page in pages])
+        raw = np.zeros((steps, len(pages)), np.float32)
+        for n, side in enumerate("fb"):
+            projected, of_rest = known @ self.p["x" + side][:PATH] + self.p["b" + side], self.p["x" + side][PATH:]
+            state, starts = None, range(0, steps, AT_ONCE)
+            for lo in starts if side == "f" else reversed(starts):
+                own = slice(lo, lo + AT_ONCE) if len(pages) == 1 else slice(None)
+                length = min(AT_ONCE, steps - lo)
+                pre, live = np.zeros((length, len(pages), 4 * HIDDEN), np.float32), np.zeros((length, len(pages)), bool)
+                pre[time[own] - lo, column[own]] = projected[at[own]] + rest[own] @ of_rest
+                live[time[own] - lo, column[own]] = True
+                states, state = self._run(pre, live, side, state)
+                raw[lo : lo + length] += (states @ self.p["out"][n * HIDDEN : (n + 1) * HIDDEN])[..., 0]
+        score = _sigmoid(raw + self.p["out_b"])
+        return [score[:n, k] for k, n in enumerate(sizes)]
 
     def gradients(self, x: np.ndarray, live: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean loss and its slopes; x is (time, page, INPUT)."""
         kept: dict[str, list] = {"f": [], "b": []}
-        both = np.concatenate([self._run(x, live, side, kept[side]) for side in "fb"], 2)
+        both = np.concatenate([self._run(x @ self.p["x" + side] + self.p["b" + side], live, side, None, kept[side])[0] for side in "fb"], 2)
         p = _sigmoid(both @ self.p["out"] + self.p["out_b"])[..., 0]
         slope = np.where(live, p - y, 0) / live.sum()
         loss = -np.log(np.clip(np.where(y > 0, p, 1 - p), 1e-7, 1))[live].mean()
@@ -254,80 +372,31 @@ class Labeller:
         return float(loss), g
 
 
-def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    steps = max(map(len, pages))
-    x, live = np.zeros((steps, len(pages), INPUT), np.float32), np.zeros((steps, len(pages)), bool)
-    for k, page in enumerate(pages):
-        x[: len(page), k], live[: len(page), k] = page, True
-    return x, live
-
-
-def fit(pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 8, batch: int = 32, rate: float = 0.01, seed: int = 5) -> Labeller:
-    """Train on pages of block vectors and their labels, with Adam steps over pages of like length."""
-    net, rng = Labeller(), np.random.default_rng(seed)
-    first, second = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2))
-    step = 0
-    order = np.argsort([len(p) for p in pages], kind="stable")
-    groups = [order[k : k + batch] for k in range(0, len(order), batch)]
-    for epoch in range(epochs):
-        for k in rng.permutation(len(groups)):
-            x, live = padded([pages[i] for i in groups[k]])
-            y = np.zeros(live.shape, np.float32)
-            for column, i in enumerate(groups[k]):
-                y[: len(labels[i]), column] = labels[i]
-            _, g = net.gradients(x, live, y)
-            norm = np.sqrt(sum(float((v**2).sum()) for v in g.values()))
-            step += 1
-            for name, v in g.items():
-                v = v * min(1.0, 1.0 / max(norm, 1e-9))
-                first[name] = 0.9 * first[name] + 0.1 * v
-                second[name] = 0.99 * second[name] + 0.01 * v * v
-                by = (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-8)
-                net.p[name] = (net.p[name] - rate * 0.65**epoch * by).astype(np.float32)
-    return net
-
-
-#: Pages that the labeller is trained on.
-TRAIN_PAGES = 4000
+#: The weights, written by train_labeller.py.
+WEIGHTS = Path(__file__).with_name("labeller.npz")
 
 
 @lru_cache(1)
-def labeller(pages: int = TRAIN_PAGES) -> Labeller:
-    """Trained once in a driver; the same seeds give the same labeller."""
-    from quern.llm.html_pages import training_pages
-
-    made = [blocks(page) for page in training_pages(pages)]
-    made = [page for page in made if page]
-    labels = [np.array([is_marked(b) for b in page], np.float32) for page in made]
-    return fit([vectors(page) for page in made], labels)
-
-
-def is_marked(block: Block) -> bool:
-    """Whether a generated page marks the block as main text: the innermost mark counts."""
-    for _, attributes in reversed(block.path):
-        if "data-main" in attributes:
-            return 'data-main="1"' in attributes
-    return False
-
-
-#: Blocks times inputs that are labelled at once.
-AT_ONCE = 60_000
+def labeller() -> Labeller:
+    net = Labeller()
+    with np.load(WEIGHTS) as kept:
+        net.p = {name: kept[name].astype(np.float32) for name in net.p}
+    return net
 
 
 def main_texts(pages: list[str | None], net: Labeller) -> list[str]:
     """Main text of each page: its main blocks in order with an empty line between them."""
     cut = [blocks(page or "") for page in pages]
     out = [""] * len(pages)
-    order = sorted((k for k in range(len(cut)) if cut[k]), key=lambda k: len(cut[k]))
+    order = sorted((k for k in range(len(cut)) if cut[k].texts), key=lambda k: len(cut[k].texts))
     at = 0
     while at < len(order):
         stop = at + 1
-        while stop < len(order) and (stop + 1 - at) * len(cut[order[stop]]) <= AT_ONCE // 16:
+        while stop < len(order) and (stop + 1 - at) * len(cut[order[stop]].texts) <= AT_ONCE:
             stop += 1
         group = order[at:stop]
-        score = net.score(*padded([vectors(cut[k]) for k in group]))
-        for column, k in enumerate(group):
-            out[k] = "\n\n".join(b.text for b, s in zip(cut[k], score[:, column]) if s >= 0.5)
+        for k, score in zip(group, net.score([cut[k] for k in group])):
+            out[k] = "\n\n".join(text for text, s in zip(cut[k].texts, score.tolist()) if s >= 0.5)
         at = stop
     return out
 
@@ -335,11 +404,12 @@ def main_texts(pages: list[str | None], net: Labeller) -> list[str]:
 def _extract(shared, at_once: int = 500):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, at_once):
-                part = batch.slice(lo, at_once)
-                text = main_texts(part.column(1).to_pylist(), shared.value)
-                values = [pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *values], ["id", "url", "text", "n_chars"])
+            for part in slices(batch, 1):
+                for lo in range(0, part.num_rows, at_once):
+                    some = part.slice(lo, at_once)
+                    text = main_texts(some.column(1).to_pylist(), shared.value)
+                    values = [pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())]
+                    yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), *values], ["id", "url", "text", "n_chars"])
 
     return run
 
@@ -347,8 +417,9 @@ def _extract(shared, at_once: int = 500):
 def extract_main_text(df: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> DataFrame:
     """The id and url columns, text (empty if there is none) and n_chars (code points) of each page.
 
-    A null page counts as empty. Repeated rows give a row each, an empty table none; other columns
-    are not read.
+    A null page counts as empty. Elements can be nested to any depth: all open ones count for a
+    block, each place of its path vector up to MOST times. Repeated rows give a row each, an empty
+    table none; other columns are not read.
     """
     spark = df.sparkSession
     ship(spark)

@@ -7,6 +7,8 @@ the labeller never sees that attribute.
 from __future__ import annotations
 
 import random
+from html import escape
+from string import punctuation
 
 SYLLABLES = "a an ar be ca co da de di do e el en er es fa for ge ha he i in is ka la le lo ma me mi na ne no o on or pa per po ra re ri ro sa se si so ta te ti to tra u un ur va ve vi ver wa we é ó ü ß".split()
 COMMON = "the of and to in is that for it as was with on by at from de la que el en los der die und den le les des et".split()
@@ -54,23 +56,45 @@ class Maker:
         for _ in range(self.r.randint(low, high)):
             text = self.words(2, 18, cue).capitalize()
             if junk:
-                text = " ".join(w + self.r.choice(["###", "&amp;&amp;", "$$$", "%%%", "!!", " |"]) for w in text.split())
+                text = " ".join(self.noisy(word) for word in text.split())
             out.append(text + self.r.choice([".", ".", ".", "!", "?"]))
         return " ".join(out)
 
+    def noisy(self, word: str) -> str:
+        """The word with any ASCII punctuation in it, in capitals, or with digits."""
+        k = self.r.random()
+        if k < 0.4:
+            at = self.r.randint(0, len(word))
+            return word[:at] + escape("".join(self.r.choice(punctuation) for _ in range(self.r.randint(1, 4)))) + word[at:]
+        return word.upper() if k < 0.6 else word + str(self.r.randint(0, 9999)) if k < 0.7 else word
+
     def prose(self) -> str:
         if self.r.random() < 0.15:
             return self.sentences(1, 1)
         return self.sentences(1, 9)
 
     def rich(self, text: str) -> str:
+        """The text with some of its words in inline elements, of which some are never closed, and line breaks."""
         words = text.split(" ")
-        if len(words) > 3 and self.r.random() < 0.3:
-            k = self.r.randrange(len(words))
-            tag = self.r.choice(["b", "i", "em", "strong", "span", "a", "code"])
-            words[k] = f'<a href="/{k}">{words[k]}</a>' if tag == "a" else f"<{tag}>{words[k]}</{tag}>"
+        for _ in range(self.r.choice([0, 0, 0, 1, 1, 2])):
+            a = self.r.randrange(len(words))
+            b = self.r.randint(a, len(words) - 1)
+            tag = self.r.choice(["b", "i", "em", "strong", "span", "a", "code", "u", "mark", "small", "font"])
+            words[a] = f'<a href="/{a}">{words[a]}' if tag == "a" else f"<{tag}>{words[a]}"
+            if self.r.random() < 0.9:
+                words[b] += f"</{tag}>"
+        if self.r.random() < 0.08:
+            words.insert(self.r.randint(0, len(words)), self.r.choice(["<br>", "<br/>", "<wbr>", '<img src="x">']))
         return " ".join(words)
 
+    def style(self) -> str:
+        """A style sheet or script of any rules, or none."""
+        if self.r.random() < 0.4:
+            return ""
+        body = "".join(f".{self.word()}{{{self.word()}:{self.r.randint(0, 99)}px}}" for _ in range(self.r.randint(0, 4)))
+        script = f'<script>if(a<b){{{self.word()}("<p>{self.word()}")}}</script>' if self.r.random() < 0.5 else ""
+        return f"<style>{body}</style>{script}"
+
     def attributes(self, kind: str) -> str:
         if self.r.random() < 0.1:
             return ""
@@ -160,9 +184,7 @@ class Maker:
             return f"<figure><img src=x alt=y><figcaption>{self.words(2, 10)}</figcaption></figure>"
         if k < 0.89:
             return "<table>" + "".join(f"<tr><td>{self.words(1, 4)}</td><td>{self.words(1, 4)}</td></tr>" for _ in range(2)) + "</table>"
-        if k < 0.93:
-            return f"<p><b>{self.sentences(1, 2)}<br>"
-        if k < 0.96:
+        if k < 0.92:
             return f"<pre>{self.words(3, 12)}</pre>"
         return f"<div>{self.prose()}</div>"
 
@@ -196,7 +218,7 @@ class Maker:
         if r.random() < 0.3:
             inner = f'<div {r.choice(["class", "id"])}="{r.choice(["wrapper", "container", "page", "site", self.word()])}">{inner}</div>'
         end = "</body></html>" if r.random() < 0.8 else ""
-        return f"<!DOCTYPE html><html><head><title>{self.words(1, 10)}</title><style>p{{margin:0}}</style></head><body>{inner}{end}"
+        return f"<!DOCTYPE html><html><head><title>{self.words(1, 10)}</title>{self.style()}</head><body>{inner}{end}"
 
 
 def training_pages(n: int, seed: int = 3) -> list[str]:

@@ -18,15 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import ship, spread, tokenizer_path
+from quern.llm.common import Memo, ship, spread, tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
 #: Fixed values of the model format: the mark of a space, and the types of pieces.
 SPACE, NORMAL, UNKNOWN, CONTROL, USER, BYTE = "▁", 1, 2, 3, 4, 6
-#: Words (and pairs of pieces) that a worker remembers before it starts anew.
-MEMORY = 250_000
-#: Characters of a word that is remembered.
-LONGEST = 64
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -71,25 +67,6 @@ def read_model(path: str) -> tuple[list[tuple[str, float, int]], dict, dict]:
     return pieces, trainer, normalizer
 
 
-class Memo(dict):
-    """Values by key, made when first asked for. Of more than `limit` keys, those go that have not
-    been asked for since the last time. Texts of more than LONGEST characters are made each time."""
-
-    def __init__(self, make, limit: int = MEMORY):
-        self.make, self.limit, self.old = make, limit, {}
-
-    def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if not isinstance(key, str) or len(key) <= LONGEST:
-            self[key] = value
-        return value
-
-
 class MergeModel:
     """A merge-type model with an identity normaliser, whole-word pieces and byte fallback."""
 

@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import ship, spread, tokenizer_path
-from quern.llm.spm import BYTE, MODEL, NORMAL, SPACE, Memo, read_model
+from quern.llm.common import Memo, ship, spread, tokenizer_path
+from quern.llm.spm import BYTE, MODEL, NORMAL, SPACE, read_model
 
 #: Fixed value of the library: what an unknown character scores below the worst piece.
 UNKNOWN_PENALTY = 10.0

@@ -1,18 +1,24 @@
 """Language, quality and page models: edge cases and held-out accuracy."""
 
 import os
+import subprocess
+import sys
+import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 
-from quern.llm import langid
-from quern.llm.html import Labeller, blocks, extract_main_text, is_marked, labeller, main_texts, padded, vectors
+from quern.llm import html, langid
+from quern.llm.html import DEEPEST, Labeller, Open, blocks, extract_main_text, is_marked, labeller, main_texts, path_vectors, vectors
 from quern.llm.html_pages import training_pages
 from quern.llm.langid import BUCKETS, CodeClassifier, codewords, has_letter, identify_language
 from quern.llm.quality import STATISTICS, BoostedTrees, quality, statistics
+from quern.llm.train_labeller import padded, train
 
+ROOT = Path(__file__).resolve().parents[2]
 DATA = "/root/testdata/sf0.01"
 with_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
 
@@ -151,7 +157,12 @@ def test_quality_accuracy(spark):
 
 
 def texts(page):
-    return [b.text for b in blocks(page)]
+    return blocks(page).texts
+
+
+def innermost(page, k):
+    found = blocks(page)
+    return found.paths[found.path[k]]
 
 
 def test_blocks():
@@ -163,12 +174,64 @@ def test_blocks():
     assert texts("</p></div>a < b<3</body></html>") == ["a < b<3"]
     assert texts("<title>t &amp; u</title><textarea>v</textarea>w") == ["t & u", "v", "w"]
     assert texts("") == [] and texts("<p> \n</p>") == [] and texts("<script>never closed") == []
-    assert [tag for tag, _ in blocks("<div><p><b>x<br><p>y</div>")[1].path] == ["div", "p"]
-
-
-def test_blocks_take_linear_time():
-    for part in ("<", "<a", "<p title='", "<!--", "</", "<p>x", "<script>", "<div>x", "<div></p>", "<a>y", '<a ">', "&amp"):
-        blocks(part * 50_000)
+    assert innermost("<div><p><b>x<br><p>y</div>", 1)[1:] == ("p", (), "", 2, "")
+    assert innermost("<article class='Big-one'><p>x", 0)[1:] == ("p", ("c:big", "c:one"), "article", 2, "")
+
+
+def test_references_end_at_tags():
+    assert texts("a&<b>lt;</b>b") == ["a&lt;b"] and texts("a&am<!-- -->p;") == ["a&amp;"]
+    assert texts("a&lt;<i>&amp;lt;</i>") == ["a<&lt;"]
+
+
+@pytest.mark.parametrize("part", ["<", "<a", "<p title='", "<!--", "</", "<p>x", "<script>", "<div>x", "<div></p>", "<a>y", '<a ">', "&amp", "<span><div>x", "<li><p>x", "<td><ul>x"])
+def test_blocks_take_linear_time(part):
+    for before in ("", "<p><object>", "<table><tr><ul>"):
+        began = time.perf_counter()
+        blocks(before + part * 50_000)
+        assert time.perf_counter() - began < 10
+
+
+def test_attributes_take_linear_time():
+    began = time.perf_counter()
+    for attributes in ("a" * 1_000_000, "a " * 500_000, "a=" * 500_000, "a='" * 300_000, " " * 1_000_000):
+        blocks(f"<p {attributes}>x")
+    assert time.perf_counter() - began < 10
+
+
+def test_open_elements_add_up():
+    """The sums that are kept up to date equal those made anew from all open elements."""
+    r, open_ = np.random.default_rng(8), Open()
+    for _ in range(3000):
+        if r.random() < 0.55 or not open_.elements:
+            open_.push(["div", "p", "b", "article", "nav"][r.integers(5)], ["", ' class="a b"', " id=c"][r.integers(3)])
+        else:
+            open_.close([["p"], ["div", "nav"], ["b"]][r.integers(3)], [(), ("article",)][r.integers(2)])
+        fresh = Open()
+        for element in open_.elements:
+            for place, sign in element.places:
+                fresh.sums[place] += sign
+        assert fresh.sums == open_.sums and list(open_.clipped) == [2 + max(-2, min(2, s)) for s in fresh.sums]
+        assert open_.named[-1] == next((e.names for e in reversed(open_.elements) if e.names), ())
+        assert open_.sections[-1] == next((e.tag for e in reversed(open_.elements) if e.tag in ("article", "nav")), "")
+
+
+def test_outer_elements_count_at_any_depth():
+    deep = "<div>" * 200
+    inside, outside = (innermost(f"{start}{deep}<p>text", 0) for start in ("<article class=story>", "<nav class=menu>"))
+    assert inside[2:5] == (("c:story",), "article", DEEPEST) and outside[2:5] == (("c:menu",), "nav", DEEPEST)
+    assert (path_vectors([inside]) != path_vectors([outside])).any()
+    inner = PAGE.replace("<article>", "<article>" + deep).replace("</article>", "</div>" * 200 + "</article>")
+    assert main_texts([inner], labeller()) == [TEXT]
+
+
+def test_page_of_many_blocks_in_little_memory():
+    script = (
+        "import resource; from quern.llm.html import labeller, main_texts; "
+        "text = main_texts(['<article>' + '<p>x' * (1 << 20)], labeller())[0]; "
+        "print(len(text), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10)"
+    )
+    chars, peak = map(int, subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, check=True, cwd=ROOT).stdout.split())
+    assert peak < 1000 and chars <= 3 * (1 << 20)
 
 
 def test_gradients():
@@ -190,11 +253,33 @@ def test_gradients():
 
 def test_generated_pages():
     net = labeller()
-    made = [blocks(p) for p in training_pages(4300)[4000:]]
-    right = [(net.score(*padded([vectors(b)]))[:, 0] >= 0.5) == [is_marked(x) for x in b] for b in made if b]
+    made = [page for page in map(blocks, training_pages(4300)[4000:]) if page.texts]
+    together = net.score(made[:20])
+    assert all(np.allclose(a, net.score([page])[0], atol=1e-5) for page, a in zip(made, together))
+    right = [(net.score([page])[0] >= 0.5) == (is_marked(page) > 0) for page in made]
     assert np.concatenate(right).mean() > 0.985
 
 
+def test_scores_equal_those_of_whole_vectors(monkeypatch):
+    """Chunks, shared path vectors and padding change nothing."""
+    net, made = labeller(), [blocks(p) for p in training_pages(40) if blocks(p).texts][:30]
+    for page in made:
+        x, live = padded([vectors(page)])
+        both = np.concatenate([net._run(x @ net.p["x" + side] + net.p["b" + side], live, side)[0] for side in "fb"], 2)
+        whole = 1 / (1 + np.exp(-(both @ net.p["out"] + net.p["out_b"])[:, 0, 0]))
+        monkeypatch.setattr(html, "AT_ONCE", 7)
+        assert np.allclose(net.score([page])[0], whole, atol=1e-5)
+        monkeypatch.undo()
+
+
+def test_training_again_gives_the_weights():
+    again, kept = train(), labeller()
+    made = [page for page in map(blocks, training_pages(4200)[4000:]) if page.texts]
+    same = [(again.score([page])[0] >= 0.5) == (kept.score([page])[0] >= 0.5) for page in made]
+    assert np.concatenate(same).mean() > 0.999
+    assert all(np.allclose(again.p[name], kept.p[name], atol=0.05) for name in kept.p)
+
+
 PAGE = (
     '<html><head><title>T</title></head><body><div class="cookie-notice"><p>We use cookies.</p></div><header><a href="/">Site</a></header>'
     "<nav><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></nav><article><h1>A title &amp; more</h1><p>The first part of the text, which goes on.</p>"
