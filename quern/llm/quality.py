@@ -7,15 +7,18 @@ once, level by level, for a batch. Scoring is one pass over the texts.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from operator import eq
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import byte_rows, ship, spread, stored
+from quern.llm.common import ship, spread, stored
 
 #: Labelled rows that a model is fitted on at most (about; rows are chosen by a hash of their id).
 TRAIN_ROWS = 20_000
@@ -23,55 +26,82 @@ TREES, DEPTH, BINS, RATE, L2 = 60, 4, 64, 0.2, 1.0
 #: Rows whose crc32(id as text) leaves this remainder are held out.
 FOLDS, HELD_OUT = 3, 1
 
+#: General categories of Unicode, and the kinds that words are told apart by.
+CATEGORIES = "Lu Ll Lt Lm Lo Mn Mc Me Nd Nl No Pc Pd Ps Pe Pi Pf Po Sm Sc Sk So Zs Zl Zp Cc Cf Cs Co Cn".split()
+KINDS = "LNPS"
 STATISTICS = (
-    "log_bytes", "lower", "upper", "digits", "wide", "exclamation", "symbols", "bars", "stops", "other", "lines", "blanks",
-    "entropy", "log_words", "word_bytes", "distinct_words", "repeated_words", "symbol_ends", "letter_ends", "stop_ends",
-    "capital_starts", "repeated_lines", "line_bytes", "caps_words",
+    *CATEGORIES, "log_chars", "capitals", "capital_pairs", "entropy", "repeats", "runs", "longest_run", "log_words", "word_chars", "distinct_words",
+    "most_frequent_word", "repeated_words", "bare_words", "capital_starts", *(f"starts_{k}" for k in KINDS), *(f"ends_{k}" for k in KINDS),
+    "marks_a_word", "repeated_lines", "line_chars", "line_ends_P",
 )
-_KIND = np.zeros(256, np.uint8)  # 0 other, 1 blank, 2 lower, 3 upper, 4 digit, 5 wide, 6 symbol, 7 stop
-for _bytes, _kind in ((b" \t\n\x0b\x0c\r", 1), (bytes(range(97, 123)), 2), (bytes(range(65, 91)), 3), (b"0123456789", 4), (bytes(range(128, 256)), 5), (b"!#$%&*+<=>@^|~", 6), (b".,;:?", 7)):
-    _KIND[list(_bytes)] = _kind
 BLOCK = 1 << 20
 
 
-def statistics(raw: bytes) -> list[float]:
-    """The numbers named in STATISTICS for UTF-8 text; all of them are zero for an empty one."""
-    data = np.frombuffer(raw, np.uint8)
-    seen, ends, starts, caps = np.zeros(256), np.zeros(8), np.zeros(8), 0
-    for lo in range(0, len(data), BLOCK):
-        part = data[lo : lo + BLOCK]
-        seen += np.bincount(part, minlength=256)
-        kind = _KIND[data[max(lo - 1, 0) : lo + BLOCK + 1]]
-        if not lo:
-            kind = np.concatenate(([np.uint8(1)], kind))
-        if lo + BLOCK >= len(data):
-            kind = np.concatenate((kind, [np.uint8(1)]))
-        before, own, after = kind[:-2], kind[1:-1], kind[2:]
-        word = own != 1
-        ends += np.bincount(own[word & (after == 1)], minlength=8)
-        starts += np.bincount(own[word & (before == 1)], minlength=8)
-        caps += int(((own == 3) & (before == 3)).sum())
-    n = max(len(data), 1)
-    words = raw.split()
-    many = max(len(words), 1)
-    lines = raw.split(b"\n")
-    share = seen / n
-    positive = share[share > 0]
-    by_kind = np.bincount(_KIND, share, 8)
-    total = max(ends.sum(), 1)
-    letters = max(seen[_KIND == 2].sum() + seen[_KIND == 3].sum(), 1)
+@lru_cache(1)
+def _categories() -> np.ndarray:
+    """The place in CATEGORIES of each code point's category; len(CATEGORIES) for ASCII white space."""
+    place = {name: k for k, name in enumerate(CATEGORIES)}
+    table = np.array([place[category(chr(c))] for c in range(0x110000)], np.uint8)
+    table[[9, 10, 11, 12, 13, 32]] = len(CATEGORIES)
+    return table
+
+
+def statistics(text: str) -> list[float]:
+    """The numbers named in STATISTICS. None of them knows a word, a language or a single character
+    (but for white space): categories of characters, runs, entropy, words, lines and their repetition."""
+    blank, of = len(CATEGORIES), _categories()
+    seen, starts, ends, pairs = np.zeros(blank + 1), np.zeros(blank + 1), np.zeros(blank + 1), 0
+    same = in_runs = run = longest = 0
+    last_code, last_kind = -1, blank
+    by_byte = np.zeros(256)
+    for lo in range(0, len(text), BLOCK):
+        part = text[lo : lo + BLOCK]
+        by_byte += np.bincount(np.frombuffer(part.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
+        code = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        kind = of[code]
+        seen += np.bincount(kind, minlength=blank + 1)
+        before = np.concatenate(([last_kind], kind[:-1]))
+        starts += np.bincount(kind[(before == blank) & (kind != blank)], minlength=blank + 1)
+        ends += np.bincount(before[(before != blank) & (kind == blank)], minlength=blank + 1)
+        pairs += int(((kind == 0) & (before == 0)).sum())
+        # runs of one character other than white space, a run over two blocks included
+        equal = (code == np.concatenate(([last_code], code[:-1]))) & (kind != blank)
+        same += int(equal.sum())
+        heads = np.flatnonzero(~equal)
+        sizes = np.diff(np.append(heads, len(code))) if len(heads) else np.empty(0, np.int64)
+        if len(heads) == 0 or heads[0]:
+            more = int(heads[0]) if len(heads) else len(code)
+            in_runs += (run + more if run < 3 else more) if run + more >= 3 else 0
+            run += more
+            longest = max(longest, run)
+        solid = sizes[kind[heads] != blank]
+        in_runs += int(solid[solid >= 3].sum())
+        longest = max(longest, int(solid.max(initial=0)))
+        if len(heads):
+            run = int(sizes[-1]) if kind[-1] != blank else 0
+        last_code, last_kind = int(code[-1]), int(kind[-1])
+    if last_kind != blank:
+        ends[last_kind] += 1
+    words, lines = text.split(), text.split("\n")
+    n, many, total, letters = max(len(text), 1), max(len(words), 1), max(starts.sum(), 1), max(seen[:5].sum(), 1)
+    solid = max(n - seen[blank], 1)
+    share = by_byte[by_byte > 0] / max(by_byte.sum(), 1)
+    counts = Counter(words)
+    major = np.array([[c[0] == k for c in CATEGORIES] + [False] for k in KINDS], float)
+    marks = seen @ major[2:].T
+    bare = sum(count for word, count in counts.items() if not any(map(str.isalnum, word))) if starts[11:22].any() else 0
+    line_ends = [line[-1] for line in map(str.rstrip, lines) if line]
     return [
-        np.log1p(len(data)), by_kind[2], seen[_KIND == 3].sum() / letters, by_kind[4], by_kind[5], share[33], share[[35, 36, 37, 38, 42]].sum(),
-        share[124], share[[44, 46]].sum(), by_kind[0] + by_kind[6] + by_kind[7], share[10], by_kind[1], float(-(positive * np.log(positive)).sum()),
-        np.log1p(len(words)), (n - seen[[9, 10, 11, 12, 13, 32]].sum()) / many, len(set(words)) / many,
-        sum(map(eq, words, words[1:])) / many, ends[6] / total, (ends[2] + ends[3] + ends[5]) / total, ends[7] / total,
-        starts[3] / total, 1 - len(set(lines)) / len(lines), np.log1p(n / len(lines)), caps / letters,
+        *(seen[:blank] / n), np.log1p(len(text)), seen[0] / letters, pairs / letters, float(-(share * np.log(share)).sum()), same / solid, in_runs / solid, np.log1p(longest),
+        np.log1p(len(words)), solid / many, len(counts) / many, max(counts.values(), default=0) / many, sum(map(eq, words, words[1:])) / many, bare / many,
+        starts[0] / total, *(major @ starts / total), *(major @ ends / total), marks.sum() / many,
+        1 - len(set(lines)) / len(lines), np.log1p(n / len(lines)), sum(category(c)[0] == "P" for c in line_ends) / max(len(line_ends), 1),
     ]
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [np.array(statistics(raw), np.float32).tobytes() for raw in byte_rows(batch.column(1))]
+        rows = [np.array(statistics(value.as_py() or ""), np.float32).tobytes() for value in batch.column(1)]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.binary())], [*batch.schema.names, "x"])
 
 
@@ -134,7 +164,7 @@ def _matrix(rows: list) -> np.ndarray:
 
 
 def _scores(model: BoostedTrees, column: pa.Array) -> np.ndarray:
-    return model.score(_matrix([statistics(raw) for raw in byte_rows(column)]))
+    return model.score(_matrix([statistics(value.as_py() or "") for value in column]))
 
 
 def _score(shared):
@@ -172,7 +202,7 @@ def fit_quality(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
     # at most 2 * train_rows ids and labels are broadcast, so that no text is shuffled
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
     measured = stored(spread(texts).mapInArrow(_measure, f"id {kind}, text string, y int, x binary").select("id", "y", "x"), "statistics")
-    sample = measured.groupBy("id").agg(F.first("x").alias("x"), F.first("y").alias("y")).orderBy("id").toPandas()
+    sample = measured.groupBy("id").agg(F.min("x").alias("x"), F.first("y").alias("y")).orderBy("id").toPandas()
     return BoostedTrees(_matrix([np.frombuffer(x, np.float32) for x in sample["x"]]), sample["y"].to_numpy(np.float64))
 
 
@@ -186,8 +216,8 @@ def quality(
 ) -> DataFrame:
     """The id column, held_out, score (0 to 1) and predicted (score of 0.5 or more) of each row.
 
-    labels has the id column and label_col (0 or 1; others and nulls teach nothing). Only rows that
-    are not held out teach. A null text counts as empty and is scored like any other. Without
+    labels has the id column and label_col (0 or 1; others and nulls teach nothing; of several the
+    greatest holds). Only rows that are not held out teach; of rows with one id, one does. A null text counts as empty and is scored like any other. Without
     labels every score is 0.5. Repeated rows give a row each, an empty table none; other
     columns are not read.
     """

@@ -6,7 +6,9 @@ import sys
 import time
 import zlib
 from collections import Counter
+from itertools import groupby
 from pathlib import Path
+from unicodedata import category
 
 import numpy as np
 import pytest
@@ -15,6 +17,7 @@ from quern.llm import html, langid
 from quern.llm.html import DEEPEST, Labeller, Open, blocks, extract_main_text, is_marked, labeller, main_texts, path_vectors, vectors
 from quern.llm.html_pages import training_pages
 from quern.llm.langid import BUCKETS, CodeClassifier, codewords, has_letter, identify_language
+from quern.llm import quality as quality_module
 from quern.llm.quality import STATISTICS, BoostedTrees, quality, statistics
 from quern.llm.train_labeller import padded, train
 
@@ -93,21 +96,71 @@ def test_language_accuracy(spark):
 # quality
 
 
-def test_statistics():
-    assert statistics(b"") == [0.0] * STATISTICS.index("log_words") + statistics(b"")[STATISTICS.index("log_words") :]
-    assert all(np.isfinite(statistics(raw)).all() for raw in (b"", b" ", b"\n", b"a", b"\xff\xfe", b"A B\nA B"))
-    named = dict(zip(STATISTICS, statistics(b"Aa bb bb!\nAa bb bb!")))
-    assert named["repeated_words"] == pytest.approx(0 / 6) and named["repeated_lines"] == 0.5 and named["symbol_ends"] == pytest.approx(2 / 6)
-    assert dict(zip(STATISTICS, statistics(b"no no no no")))["repeated_words"] == 0.75
-
-
-def test_statistics_over_blocks(monkeypatch):
-    import quern.llm.quality as module
-
-    raw = ("Some Words! and MORE, 12 ### é\n" * 50).encode()
-    whole = statistics(raw)
-    monkeypatch.setattr(module, "BLOCK", 7)
-    assert statistics(raw) == pytest.approx(whole)
+def named(text):
+    return dict(zip(STATISTICS, statistics(text)))
+
+
+def plain_statistics(text):
+    """Some of the statistics by their definitions, character by character and word by word."""
+    n, words, lines = max(len(text), 1), text.split(), text.split("\n")
+    solid = [c for c in text if c not in " \t\n\x0b\x0c\r"]
+    runs = [list(g) for _, g in groupby(text)]
+    runs = [g for g in runs if g[0] not in " \t\n\x0b\x0c\r"]
+    out = {c: sum(category(x) == c for x in solid) / n for c in ("Lu", "Ll", "Po", "So", "Cc")}
+    out["repeats"] = sum(len(g) - 1 for g in runs) / max(len(solid), 1)
+    out["runs"] = sum(len(g) for g in runs if len(g) > 2) / max(len(solid), 1)
+    out["longest_run"] = np.log1p(max(map(len, runs), default=0))
+    out["distinct_words"] = len(set(words)) / max(len(words), 1)
+    out["repeated_words"] = sum(a == b for a, b in zip(words, words[1:])) / max(len(words), 1)
+    out["bare_words"] = sum(not any(c.isalnum() for c in w) for w in words) / max(len(words), 1)
+    out["repeated_lines"] = 1 - len(set(lines)) / len(lines)
+    return out
+
+
+TEXTS = ["", " ", "\n", "a", "A B\nA B", "aaa", "  ", "Some Words! and MORE, 12 ### é\n" * 50, "xx  yyy zzzz\n\nzzzz -- | 日本語 😀😀😀\x00", "!!! !!! !!!", "\x85\u2028a\u2028b"]
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 7, 1 << 20])
+def test_statistics(monkeypatch, block):
+    whole = [statistics(text) for text in TEXTS]
+    monkeypatch.setattr(quality_module, "BLOCK", block)
+    for text, one in zip(TEXTS, whole):
+        got = statistics(text)
+        assert got == pytest.approx(one) and np.isfinite(got).all() and len(got) == len(STATISTICS)
+        for name, value in plain_statistics(text).items():
+            assert named(text)[name] == pytest.approx(value), (name, text)
+
+
+def test_word_ends():
+    got = named("Aa bb, 12 +\nAa!")
+    assert [got[f"starts_{k}"] for k in "LNPS"] == pytest.approx([0.6, 0.2, 0, 0.2]) and got["capital_starts"] == pytest.approx(0.4)
+    assert [got[f"ends_{k}"] for k in "LNPS"] == pytest.approx([0.2, 0.2, 0.4, 0.2]) and got["line_ends_P"] == 0.5
+
+
+def test_splits_are_the_best_ones():
+    """Each node of the first tree has the split of greatest gain among all cuts of its rows."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 12, (300, 3)).astype(float)
+    y = (x[:, 1] + rng.normal(0, 2, 300) > 6).astype(float)
+    model = BoostedTrees(x, y)
+    p = 1 / (1 + np.exp(-model.base))
+    slope, curve = p - y, np.full(300, p * (1 - p))
+    at = {0: np.arange(300)}
+    for node in range(model.feature.shape[1]):
+        rows = at[node]
+        gains = {}
+        for f in range(3):
+            for cut in np.unique(x[:, f])[:-1]:
+                sides = [rows[x[rows, f] <= cut], rows[x[rows, f] > cut]]
+                gains[f, cut] = sum(slope[side].sum() ** 2 / (curve[side].sum() + 1.0) for side in sides) - slope[rows].sum() ** 2 / (curve[rows].sum() + 1.0)
+        f, cut = model.feature[0, node], model.threshold[0, node]
+        if np.isfinite(cut):
+            assert gains[f, cut] == pytest.approx(max(gains.values()))
+        else:
+            assert max(gains.values()) <= 1e-6 + 1e-9
+        at[2 * node + 1], at[2 * node + 2] = rows[x[rows, f] <= cut], rows[x[rows, f] > cut]
+    leaves = [at[k] for k in range(model.feature.shape[1], 2 * model.feature.shape[1] + 1)]
+    assert model.leaf[0] == pytest.approx([-0.2 * slope[rows].sum() / (curve[rows].sum() + 1.0) for rows in leaves])
 
 
 def test_trees_learn_interactions():
@@ -139,7 +192,7 @@ def test_trees_without_a_choice():
 
 def test_quality_edges(spark, edge, edge_rows, nothing):
     labels = spark.createDataFrame([(k, k % 2, 0) for k in range(12)] + [(3, None, 0), (4, 7, 1), (5, 1, 0), (None, 1, 0)], "doc_id bigint, quality int, toxic int")
-    for known in (labels, labels.limit(0)):
+    for known in (labels, labels.union(labels), labels.limit(0)):
         got = quality(edge, known).collect()
         assert Counter((r.doc_id, r.held_out) for r in got) == Counter((r[0], fold(r[0], 3) == 1) for r in edge_rows)
         assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
