@@ -11,7 +11,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TOKENIZER_DIR = "/opt/tokenizers"
 
@@ -43,11 +45,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that spark.checkpoint.dir names; it goes when the driver ends."""
+    """A new path in the shared folder that spark.checkpoint.dir names; it goes when the driver ends.
+
+    Only a session on one machine (local mode) can do without that setting."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = os.path.join(tempfile.gettempdir(), "quern-checkpoints")
-        spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/quern-{name}-{uuid.uuid4().hex}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
@@ -59,7 +64,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     executor costs no recomputation, and the plan behind df runs once."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 #: Bytes of input for each partition of a shuffle that Spark's own setting would make too few of.
@@ -75,7 +90,7 @@ def spread(df: DataFrame) -> DataFrame:
     """A small input of fewer files than cores, dealt out to all cores: a file of one row group would
     else be read, and worked on, by one task. Larger inputs stay as they lie."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores and _size(df) < cores * PARTITION_BYTES // 2 else df
+    return df.repartition(cores) if _size(df) < cores * PARTITION_BYTES // 2 and 0 < len(df.inputFiles()) < cores else df
 
 
 def parts(df: DataFrame, times: float = 1.0) -> list[int]:
@@ -86,6 +101,36 @@ def parts(df: DataFrame, times: float = 1.0) -> list[int]:
     return [wanted] if wanted > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
 
 
+#: A key is hot from this share of the rows on, so there are fewer hot keys than HOT; tables of fewer
+#: bytes than SMALL are not looked through, as no key of theirs can hold up a task.
+HOT, SMALL = 1000, 8 << 20
+
+
+def hot_keys(df: DataFrame, on: str) -> DataFrame | None:
+    """The hot values of a column of a stored table, fewer than HOT; None if there are none."""
+    if _size(df) <= SMALL:
+        return None
+    least = df.count() / HOT
+    hot = stored(df.groupBy(on).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > least).select(on), "hot")
+    return None if hot.isEmpty() else hot
+
+
+def hot_join(left: DataFrame, right: DataFrame, on: str, hot: DataFrame | None) -> DataFrame:
+    """The rows of left with those of right, which has each value of `on` once.
+
+    What right holds for hot keys, fewer than HOT rows, is broadcast, and their rows are joined where they
+    lie; the other rows are left to Spark's choice."""
+    if hot is None:
+        return left.join(right, on)
+    here = left.join(F.broadcast(right.join(F.broadcast(hot), on, "left_semi")), on)
+    return here.unionByName(left.join(F.broadcast(hot), on, "left_anti").join(right, on))
+
+
+def row_numbers(first: int, n: int) -> pa.Array:
+    """Numbers of rows of a task, which no other row of the job has; the same ones if the task runs again."""
+    return pa.array(np.arange(first, first + n) + (TaskContext.get().partitionId() << 33))
+
+
 def byte_rows(column: pa.Array, null: bytes = b"") -> Iterator[bytes]:
     """The UTF-8 bytes of each value of a string or binary column."""
     for value in column.cast(pa.large_binary()):

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import byte_rows, ship, spread, stored
+from quern.llm.common import byte_rows, row_numbers, ship, spread, stored
 
 SPACE = b" \t\n\x0b\x0c\r"
 #: Counters of each summary. A digest is frequent from 2n / COUNTERS rows, and from LEAST rows.
@@ -26,6 +26,7 @@ COUNTERS, LEAST = 16384, 64
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = 0
     for batch in batches:
         text = batch.column(1)
         sha = [hashlib.sha256(raw.translate(None, SPACE)).digest() for raw in byte_rows(text)]
@@ -33,8 +34,10 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = pc.fill_null(pc.utf8_length(text), 0).cast(pa.int64())
         rest, names = batch.columns[2:], batch.schema.names[2:]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sha, pa.binary()), pa.array(key), size, *rest], ["id", "sha", "h", "size", *names]
+            [batch.column(0), pa.array(sha, pa.binary()), pa.array(key), size, row_numbers(rows, batch.num_rows), *rest],
+            ["id", "sha", "h", "size", "row", *names],
         )
+        rows += batch.num_rows
 
 
 def misra_gries(keys: np.ndarray, counts: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -75,8 +78,8 @@ def _summaries(limit: int):
 
 
 def _best() -> Column:
-    """Orders rows of a group: longest, then smallest id (a null id is last)."""
-    return F.struct((-F.col("size")).alias("a"), F.col("id").isNull().alias("b"), F.col("id").alias("c"))
+    """Orders rows of a group: longest, then smallest id (a null id is last), then any one."""
+    return F.struct((-F.col("size")).alias("a"), F.col("id").isNull().alias("b"), F.col("id").alias("c"), F.col("row").alias("d"))
 
 
 def exact_dedup(
@@ -90,15 +93,15 @@ def exact_dedup(
     """One row per input row: the id column, keep_id, group_size, kept, text_sha256, then the columns in `keep`.
 
     A null text counts as empty; all texts without characters are one group. Ties in length go to
-    the smallest id, null ids last. Rows that repeat the winner's id are that document again and
-    are all marked kept. An empty table gives no rows. Other columns of df are not read.
+    the smallest id, null ids last; of rows that are equal in these too, one is kept, so each group has
+    one kept row. An empty table gives no rows. Other columns of df are not read.
     """
     ship(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     own = [f"k{i}" for i in range(len(keep))]
     narrow = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(k) for c, k in zip(keep, own)))
     more = "".join(f", {k} {df.schema[c].dataType.simpleString()}" for c, k in zip(keep, own))
-    rows = stored(spread(narrow).mapInArrow(_digests, f"id {kind}, sha binary, h long, size long{more}"), "digests")
+    rows = stored(spread(narrow).mapInArrow(_digests, f"id {kind}, sha binary, h long, size long, row long{more}"), "digests")
 
     summary = stored(rows.select("h").mapInArrow(_summaries(counters), "h long, n long, rows long, off long"), "counters")
     total, error = summary.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("off"), F.lit(0))).first()
@@ -111,21 +114,22 @@ def exact_dedup(
         .groupBy("sha")
         .agg(F.min(_best()).alias("best"), F.count(F.lit(1)).alias("group_size"))
         .filter(F.col("group_size") >= frequent)
-        .select("sha", F.col("best.c").alias("keep_id"), "group_size"),
+        .select("sha", F.col("best.c").alias("keep_id"), F.col("best.d").alias("keep_row"), "group_size"),
         "frequent",
     )
     all_of = Window.partitionBy("sha")
-    here = rows.join(F.broadcast(heavy), "sha").select("id", "sha", "keep_id", "group_size", *own)
+    here = rows.join(F.broadcast(heavy), "sha").select("id", "sha", "keep_id", (F.col("row") == F.col("keep_row")).alias("kept"), "group_size", *own)
     moved = (
-        rows.select("id", "sha", "size", *own)
+        rows.select("id", "sha", "size", "row", *own)
         .join(F.broadcast(heavy.select("sha")), "sha", "left_anti")
-        .select("id", "sha", F.min(_best()).over(all_of)["c"].alias("keep_id"), F.count(F.lit(1)).over(all_of).alias("group_size"), *own)
+        .select("*", F.min(_best()).over(all_of).alias("best"), F.count(F.lit(1)).over(all_of).alias("group_size"))
+        .select("id", "sha", F.col("best.c").alias("keep_id"), (F.col("row") == F.col("best.d")).alias("kept"), "group_size", *own)
     )
     return here.unionByName(moved).select(
         F.col("id").alias(id_col),
         "keep_id",
         "group_size",
-        F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        "kept",
         F.lower(F.hex("sha")).alias("text_sha256"),
         *(F.col(k).alias(c) for c, k in zip(keep, own)),
     )

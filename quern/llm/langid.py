@@ -2,12 +2,13 @@
 
 Each language has a codeword; a binary classifier over hashed byte n-grams predicts each bit. A text
 gets the language whose codeword has the least logistic loss under the predicted margins, so a
-few wrong bits don't change it; a text whose best two codewords lie too close is flagged.
+few wrong bits don't change it. A text is flagged as ambiguous whose best two codewords lie too close, or
+whose nearest codeword lies far off, as for a language that was never learned.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import product
 
 import numpy as np
@@ -19,14 +20,15 @@ from quern.llm.common import LETTER, ship, spread, stored
 
 #: Labelled rows of each language that a model is fitted on at most (about; chosen by a hash of the id).
 TRAIN_ROWS = 1000
-#: Languages that have TRAIN_ROWS rows each (more share as many rows), and at most: more labels are an error.
-LANGUAGES, MOST = 200, 10_000
+#: Rows of a sample as a whole (the driver holds twice as many at most, 8 kB each; more than 16 languages
+#: share them), and languages: more labels are an error.
+SAMPLE_ROWS, MOST = 16_000, 10_000
 #: n-gram buckets, steps of fitting and their penalty.
 BUCKETS, STEPS, PENALTY = 2048, 150, 1e-3
 #: Rows whose crc32(id as text) leaves this remainder are held out.
 FOLDS, HELD_OUT = 4, 2
-#: A prediction is ambiguous if its score is less.
-CLEAR, UNKNOWN = 0.6, "und"
+#: A prediction is ambiguous if its score is less than CLEAR, or its mean loss of a bit FAR or more (a guess: 0.69).
+CLEAR, FAR, UNKNOWN = 0.6, 0.4, "und"
 BLOCK = 1 << 20
 
 
@@ -94,13 +96,14 @@ class CodeClassifier:
             self.weight += step_w
             self.bias += step_b
 
-    def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the language with the least loss (the first of equal ones), and its score."""
+    def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Index of the language with the least loss (the first of equal ones), its score, and whether it
+        is ambiguous."""
         margin = np.clip((x - self.mean) @ self.weight + self.bias, -30, 30).astype(np.float64)
         loss = np.log1p(np.exp(-margin)) @ (self.code > 0).T.astype(float) + np.log1p(np.exp(margin)) @ (self.code < 0).T.astype(float)
         share = np.exp(loss.min(1, keepdims=True) - loss)
-        best = loss.argmin(1)
-        return best, share.max(1) / share.sum(1)
+        score = share.max(1) / share.sum(1)
+        return loss.argmin(1), score, (score < CLEAR) | (loss.min(1) >= FAR * max(self.code.shape[1], 1))
 
 
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,14 +114,13 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), pa.array(rows, pa.binary())], ["id", "lang", "x"])
 
 
-def _languages(model: CodeClassifier, texts: list[str | None]) -> tuple[list[str], list[float]]:
+def _languages(model: CodeClassifier, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
     known = [k for k, text in enumerate(texts) if text is not None and model.languages and has_letter(text)]
-    lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    lang, score, unclear = [UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts)
     if known:
-        best, share = model.predict(np.stack([features(texts[k]) for k in known]))
-        for k, b, s in zip(known, best, share):
-            lang[k], score[k] = model.languages[b], float(s)
-    return lang, score
+        for k, best, share, doubt in zip(known, *model.predict(np.stack([features(texts[k]) for k in known]))):
+            lang[k], score[k], unclear[k] = model.languages[best], float(share), bool(doubt)
+    return lang, score, unclear
 
 
 def _predict(shared):
@@ -126,22 +128,22 @@ def _predict(shared):
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
-                lang, score = _languages(shared.value, part.column(1).to_pylist())
-                unclear = [s < CLEAR for s in score]
+                lang, score, unclear = _languages(shared.value, part.column(1).to_pylist())
                 values = [part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(unclear, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(values, ["id", "lang_pred", "score", "ambiguous"])
 
     return run
 
 
-def _identified(shared, text_at: int):
+def _identified(shared, text_at: int, wanted: frozenset[str] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
                 texts = part.column(text_at).to_pylist()
                 if shared.value.languages:
-                    keep = [found != UNKNOWN for found in _languages(shared.value, texts)[0]]
+                    found, _, unclear = _languages(shared.value, texts)
+                    keep = [not doubt and (wanted is None or lang in wanted) for lang, doubt in zip(found, unclear)]
                 else:  # nothing was learned, which is no fault of a text
                     keep = [text is not None and has_letter(text) for text in texts]
                 yield part.filter(pa.array(keep, pa.bool_()))
@@ -154,8 +156,8 @@ def _remainder(column: str) -> Column:
 
 
 def fit_languages(df: DataFrame, id_col: str, text_col: str, lang_col: str, train_rows: int) -> CodeClassifier:
-    """A classifier fitted on train_rows or so of each language's rows that are not held out; more than
-    LANGUAGES languages share the rows of so many. All labels are learned, or too many raise ValueError."""
+    """A classifier fitted on train_rows or so of each language's rows that are not held out, and SAMPLE_ROWS
+    or so in all. All labels are learned, or too many raise ValueError."""
     ship(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     narrow = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
@@ -164,7 +166,7 @@ def fit_languages(df: DataFrame, id_col: str, text_col: str, lang_col: str, trai
     found = counts.count()
     if found > MOST:
         raise ValueError(f"{found} different labels in {lang_col}; {MOST} languages at most can be learned")
-    total = train_rows * min(found, LANGUAGES)
+    total = min(train_rows * found, SAMPLE_ROWS)
     share = F.least(F.lit(1.0), F.lit(float(total)) / F.lit(max(found, 1)) / F.col("count"))
     draw = F.pmod(F.xxhash64("id", "lang"), F.lit(1_000_000)) < share * 1_000_000
     drawn = spread(known).join(F.broadcast(counts), "lang").filter(draw).select("id", "text", "lang")
@@ -187,8 +189,8 @@ def identify_language(
     """The id column, held_out, lang_pred, score (0 to 1) and ambiguous of each row.
 
     Rows that are not held out teach if their language is known and their text has a letter. A
-    null text, one without letters, or any text where nothing was learned is `und` with score 0. With
-    one language learned, all other texts have it. Equal losses give the language first in
+    null text, one without letters, or any text where nothing was learned is `und` with score 0 and
+    ambiguous. With one language learned, all other texts have it. Equal losses give the language first in
     alphabetical order. Repeated rows give a row each, an empty table none; other columns are not read.
     """
     kind = df.schema[id_col].dataType.simpleString()
@@ -199,10 +201,17 @@ def identify_language(
 
 
 def identified_rows(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    train_rows: int = TRAIN_ROWS,
+    languages: Iterable[str] | None = None,
 ) -> DataFrame:
-    """The rows of df that `identify_language` gives a learned language, with all of their columns, in one
-    pass without a shuffle. Ambiguous rows stay: a doubt between languages is no fault of a text. Where no
-    language was learned, all rows whose text has a letter stay."""
+    """The rows of df that `identify_language` gives one of the languages (None: any learned one) without
+    doubt, with all of their columns, in one pass without a shuffle. Ambiguous rows go: texts between
+    two languages, in none that was learned, or too short to tell. Where no language was learned, all
+    rows whose text has a letter stay. An empty table gives none."""
+    wanted = None if languages is None else frozenset(languages)
     shared = df.sparkSession.sparkContext.broadcast(fit_languages(df, id_col, text_col, lang_col, train_rows))
-    return spread(df).mapInArrow(_identified(shared, df.columns.index(text_col)), df.schema)
+    return spread(df).mapInArrow(_identified(shared, df.columns.index(text_col), wanted), df.schema)

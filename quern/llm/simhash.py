@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import byte_rows, parts, ranges, ship, spread, stored
+from quern.llm.common import byte_rows, forget, hot_join, hot_keys, parts, ranges, row_numbers, ship, spread, stored
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: Rows of a bucket that one task indexes, members of a node, searches at once, pairs at once.
@@ -49,10 +49,12 @@ def fingerprint(raw: bytes, words: int = SHINGLE, seed: int = SEED) -> int:
 
 def _fingerprints(words: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = 0
         for batch in batches:
             found = np.array([fingerprint(raw, words, seed) for raw in byte_rows(batch.column(1))], np.uint64)
-            names = ["id", "fp", *batch.schema.names[2:]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], names)
+            values = [batch.column(0), pa.array(found.view(np.int64)), row_numbers(rows, batch.num_rows), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(values, ["id", "fp", "row", *batch.schema.names[2:]])
+            rows += batch.num_rows
 
     return run
 
@@ -215,22 +217,27 @@ def components(links: DataFrame) -> DataFrame:
     """(node, label) for every node of the links (a, b): label is the smallest node of its component.
 
     Each round takes the smallest label among neighbours and then the label of that label, so
-    distances to the smallest node shrink at least by half. No link or label reaches the driver.
+    distances to the smallest node shrink at least by half. No link or label reaches the driver. A node
+    of very many links and a label of very many nodes are joined where their rows lie (`hot_join`).
     """
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges = stored(both.distinct(), "edges")
-    labels = stored(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("n")).select("node", F.least("node", "n").alias("label")), "labels")
+    edges = stored(both.distinct().select("a", F.col("b").alias("node")), "edges")
+    hubs = hot_keys(edges, "node")
+    labels = stored(edges.groupBy("node").agg(F.min("a").alias("n")).select("node", F.least("node", "n").alias("label")), "labels")
     while True:
-        near = edges.join(labels, edges["b"] == labels["node"]).groupBy(F.col("a").alias("to")).agg(F.min("label").alias("seen"))
+        near = hot_join(edges, labels, "node", hubs).groupBy(F.col("a").alias("to")).agg(F.min("label").alias("seen"))
         hooked = labels.join(near, labels["node"] == near["to"]).select(
-            "node", F.least("label", "seen").alias("label"), (F.col("seen") < F.col("label")).alias("moved")
+            "node", F.least("label", "seen").alias("mid"), (F.col("seen") < F.col("label")).alias("moved")
         )
         hooked = stored(hooked, "hooked")
         if hooked.filter("moved").isEmpty():
+            forget(edges, hooked)
             return labels
-        target = hooked.select(F.col("node").alias("mid"), F.col("label").alias("next"))
-        jumped = hooked.join(target, hooked["label"] == target["mid"])
-        labels = stored(jumped.select("node", F.least("label", "next").alias("label")), "labels")
+        target = hooked.select(F.col("node").alias("mid"), F.col("mid").alias("next"))
+        jumped = hot_join(hooked.select("node", "mid"), target, "mid", hot_keys(hooked, "mid"))
+        passed = stored(jumped.select("node", F.least("mid", "next").alias("label")), "labels")
+        forget(labels, hooked)
+        labels = passed
 
 
 def near_duplicates(
@@ -242,32 +249,34 @@ def near_duplicates(
     bucket_rows: int = BUCKET_ROWS,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per input row: the id column, fingerprint (16 hex digits), component_id, then the columns in `keep`.
+    """One row per input row: the id column, fingerprint (16 hex digits), component_id, kept, then the columns in `keep`.
 
     component_id is the smallest id that can be reached over links of at most `distance` bits, the
     row's own included. Null, empty and blank texts have fingerprint zero and are linked like any
     other. Null ids are never the smallest; a component of null ids alone has a null component_id.
-    Repeated rows give a row each, an empty table none; other columns are not read.
+    One row of each component is kept, with the smallest id; of several with that id, any one. Repeated
+    rows give a row each, an empty table none; other columns are not read.
     """
     ship(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     own = [f"k{i}" for i in range(len(keep))]
     narrow = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(k) for c, k in zip(keep, own)))
     more = "".join(f", {k} {df.schema[c].dataType.simpleString()}" for c, k in zip(keep, own))
-    docs = stored(spread(narrow).mapInArrow(_fingerprints(words, SEED), f"id {kind}, fp long{more}"), "fingerprints")
-    classes = stored(docs.groupBy("fp").agg(F.min("id").alias("least")), "classes")
+    docs = stored(spread(narrow).mapInArrow(_fingerprints(words, SEED), f"id {kind}, fp long, row long{more}"), "fingerprints")
+    first = F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col("row").alias("c"))
+    classes = stored(docs.groupBy("fp").agg(F.min(first).alias("least")), "classes")
     links = stored(fingerprint_links(classes, distance, bucket_rows), "links")
     labels = components(links)
 
     member = stored(labels.join(classes, labels["node"] == classes["fp"]).select("fp", "label", "least"), "members")
     smallest = stored(member.groupBy("label").agg(F.min("least").alias("whole")), "smallest")
-    joined = member.select("fp", "label").join(smallest, "label").select("fp", "whole")
-    resolved = stored(
-        classes.join(joined, "fp", "left").select("fp", F.coalesce("whole", "least").alias("component_id")), "resolved"
-    )
-    return docs.join(resolved, "fp").select(
+    joined = hot_join(member.select("fp", "label"), smallest, "label", hot_keys(member, "label")).select("fp", "whole")
+    resolved = stored(classes.join(joined, "fp", "left").select("fp", F.coalesce("whole", "least").alias("first")), "resolved")
+    forget(links, labels, member, smallest, classes)
+    return hot_join(docs, resolved, "fp", hot_keys(docs, "fp")).select(
         F.col("id").alias(id_col),
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
-        "component_id",
+        F.col("first.b").alias("component_id"),
+        (F.col("row") == F.col("first.c")).alias("kept"),
         *(F.col(k).alias(c) for c, k in zip(keep, own)),
     )

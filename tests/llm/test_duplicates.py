@@ -1,10 +1,12 @@
 import hashlib
 import re
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 
+from quern.llm import simhash
 from quern.llm.exact_dedup import exact_dedup, misra_gries
 from quern.llm.simhash import GrayIndex, components, fingerprint, gray_rank, near_duplicates
 
@@ -16,9 +18,9 @@ def exact_brute(rows):
         groups[sha].append((-len(text or ""), doc is None, doc or 0, doc))
     out = Counter()
     for sha, members in groups.items():
-        keep = min(members)[3]
-        for m in members:
-            out[m[3], keep, len(members), m[3] == keep, sha] += 1
+        members.sort()
+        for k, m in enumerate(members):  # one row of each group is kept
+            out[m[3], members[0][3], len(members), k == 0, sha] += 1
     return out
 
 
@@ -82,13 +84,24 @@ def near_brute(rows, distance=4):
     for k, r in zip(label, rows):
         if r[0] is not None:
             least[k].append(r[0])
-    return Counter((r[0], f"{p:016x}", min(least[k], default=None)) for r, p, k in zip(rows, prints, label))
+    out, seen = Counter(), set()
+    for r, p, k in sorted(zip(rows, prints, label), key=lambda x: (x[2], x[0][0] is None, x[0][0] or 0)):
+        out[r[0], f"{p:016x}", min(least[k], default=None)] += 1
+        seen.add(k)
+    out.classes = len(seen)
+    return out
+
+
+def check_near(got, rows):
+    got, want = got.collect(), near_brute(rows)
+    assert Counter((r.doc_id, r.fingerprint, r.component_id) for r in got) == want
+    kept = [r for r in got if r.kept]  # one row of each component, with its smallest id
+    assert len(kept) == want.classes and all(r.doc_id == r.component_id for r in kept)
 
 
 @pytest.mark.parametrize("bucket_rows", [1 << 20, 2])
 def test_near(edge, edge_rows, nothing, bucket_rows):
-    got = near_duplicates(edge, bucket_rows=bucket_rows)
-    assert Counter((r.doc_id, r.fingerprint, r.component_id) for r in got.collect()) == near_brute(edge_rows)
+    check_near(near_duplicates(edge, bucket_rows=bucket_rows), edge_rows)
     assert near_duplicates(nothing, bucket_rows=bucket_rows).count() == 0
 
 
@@ -105,9 +118,61 @@ def test_near_with_drifting_copies(spark, bucket_rows):
         rows.append((1000 - k, " ".join(base)))
     rows += [(2000, None), (2001, ""), (2002, " ")]
     got = near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), bucket_rows=bucket_rows)
-    want = near_brute(rows)
-    assert Counter((r.doc_id, r.fingerprint, r.component_id) for r in got.collect()) == want
-    assert len({k[2] for k in want}) < 200
+    check_near(got, rows)
+    assert len({k[2] for k in near_brute(rows)}) < 200
+
+
+def hot_rows():
+    """Nine tenths of the rows are blank, and nine tenths of the other texts are one chain of near copies."""
+    rng = np.random.default_rng(9)
+    rows = [(k, ["", None, " \n"][k % 3]) for k in range(1800)]
+    base = [f"w{k}" for k in rng.integers(0, 500, 500)]
+    for k in range(180):
+        base = list(base) if k % 3 else base  # chains and a star
+        base[rng.integers(0, 500)] = f"n{k}"
+        rows.append((5000 - k, " ".join(base)))
+    return rows + [(6000 + k, " ".join(f"x{j}" for j in rng.integers(0, 900, 60))) for k in range(20)]
+
+
+def test_near_with_hot_keys(spark, monkeypatch):
+    """Fingerprints, nodes and labels that hold most rows are joined where they lie, with the same result."""
+    from quern.llm import common
+
+    split = []
+    join = common.hot_join
+    monkeypatch.setattr(common, "SMALL", -1)
+    monkeypatch.setattr(common, "HOT", 20)
+    monkeypatch.setattr(simhash, "hot_join", lambda left, right, on, hot: (split.append((on, hot is not None)), join(left, right, on, hot))[1])
+    rows = hot_rows()
+    check_near(near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)), rows)
+    assert {on for on, found in split if found} >= {"mid", "label", "fp"}
+    star = [(7, k) for k in range(100, 400)] + [(k, k + 1) for k in range(1000, 1040)]
+    split.clear()
+    got = {r.node: r.label for r in components(spark.createDataFrame(star, "a bigint, b bigint")).collect()}
+    assert got == {k: 7 for k in (7, *range(100, 400))} | {k: 1000 for k in range(1000, 1041)} and ("node", True) in split
+
+
+def test_hot_join(spark, monkeypatch):
+    from quern.llm import common
+
+    monkeypatch.setattr(common, "SMALL", -1)
+    rows = [(k, 0 if k % 3 else k) for k in range(3000)] + [(9000 + k, 1) for k in range(100)]
+    left = common.stored(spark.createDataFrame(rows, "id bigint, x bigint"), "left")
+    right = common.stored(left.select("x").distinct().selectExpr("x", "x * 2 as y"), "right")
+    hot = common.hot_keys(left, "x")
+    assert {r.x for r in hot.collect()} == {0, 1}
+    got = common.hot_join(left, right, "x", hot)
+    assert sorted(map(tuple, got.select("id", "x", "y").collect())) == sorted((k, x, 2 * x) for k, x in rows)
+    common.forget(hot)
+    assert common.hot_keys(right, "x") is None
+
+
+def test_scratch_needs_a_shared_folder():
+    from quern.llm import common
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda key, other: other), sparkContext=SimpleNamespace(master="spark://far:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.scratch(far, "x")
 
 
 def test_fingerprint_of_long_text():
