@@ -12,13 +12,12 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 
-from quern.llm.common import tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Fixed values of the vocabulary: its pre-token pattern and its special token.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Fixed value of the vocabulary: its special token.
 SPECIAL = {"<|endoftext|>": 50256}
 #: White-space characters from which a run is cut off, and such a run (the pattern's \s, which has no U+001C to U+001F).
 RUN, SPACE = 100_000, r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
@@ -26,12 +25,12 @@ SPACES = re.compile(rf"(?<!{SPACE}){SPACE}{{{RUN},}}")
 
 
 @lru_cache(2)
-def encoding(path: str = tokenizer_path(VOCABULARY)):
+def encoding(path: str = public_tokenizers.path(VOCABULARY)):
     import tiktoken
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
+    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
 
 def _ids(text: str, path: str) -> list[int]:
@@ -49,7 +48,7 @@ def _ids(text: str, path: str) -> list[int]:
     return ids + whole.encode(text[at:], allowed_special="all")
 
 
-def encode(text: str | None, path: str = tokenizer_path(VOCABULARY), end: int | None = None) -> np.ndarray:
+def encode(text: str | None, path: str = public_tokenizers.path(VOCABULARY), end: int | None = None) -> np.ndarray:
     """uint16 ids of a text (null: none), with the id `end` after them if one is given."""
     ids = _ids(text, path) if text else []
     if end is not None:
@@ -57,6 +56,6 @@ def encode(text: str | None, path: str = tokenizer_path(VOCABULARY), end: int |
     return np.array(ids, np.uint16)
 
 
-def encode_column(texts: pa.Array, path: str = tokenizer_path(VOCABULARY), end: int | None = None):
+def encode_column(texts: pa.Array, path: str = public_tokenizers.path(VOCABULARY), end: int | None = None):
     for value in texts:
         yield encode(value.as_py(), path, end)

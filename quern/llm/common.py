@@ -15,14 +15,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TOKENIZER_DIR = "/opt/tokenizers"
-
-
-def tokenizer_path(name: str, folder: str = TOKENIZER_DIR) -> str:
-    """Place of a public tokenizer file on every machine."""
-    return os.path.join(folder, name)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -23,8 +23,6 @@ from quern.llm.common import byte_rows, ship, slices, spread, stored
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex"}
 MATRIX = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 FRAME, RATE, FILL = 576, 8000, b"\xff"
-#: Every how many frames one is listed as a keyframe.
-KEY_EVERY = 16
 
 
 def _box(kind: bytes, *parts: bytes) -> bytes:
@@ -39,10 +37,12 @@ def _full(kind: bytes, *parts: bytes, flags: int = 0) -> bytes:
 
 
 def wrap(raw: bytes, frame: int = FRAME, rate: int = RATE) -> bytes:
-    """An ISO media file whose only track holds raw, filled up with bytes 255 to whole frames."""
+    """An ISO media file whose only track holds raw, filled up with bytes 255 to whole frames.
+
+    Each sample can be decoded alone, so there is no table of sync samples: all are keyframes."""
     frames = max(1, -(-len(raw) // frame))
     payload = raw + FILL * (frames * frame - len(raw))
-    ticks, keys = len(payload), range(1, frames + 1, KEY_EVERY)
+    ticks = len(payload)
     kind = _box(b"ftyp", b"isom", struct.pack(">I", 512), b"isom", b"mp41")
     long = len(payload) + 16 >= 1 << 32
     start = len(kind) + (16 if long else 8)
@@ -52,7 +52,6 @@ def wrap(raw: bytes, frame: int = FRAME, rate: int = RATE) -> bytes:
         b"stbl",
         _full(b"stsd", struct.pack(">I", 1), entry),
         _full(b"stts", struct.pack(">III", 1, frames, frame)),
-        _full(b"stss", struct.pack(f">I{len(keys)}I", len(keys), *keys)),
         _full(b"stsc", struct.pack(">IIII", 1, 1, frames, 1)),
         _full(b"stsz", struct.pack(">II", frame, frames)),
         place,
@@ -174,36 +173,40 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-MEDIA = "codec string, duration double, n_frames long, keyframes array<struct<offset:long,length:long>>"
+TRACK = "struct<codec:string,duration:double,n_frames:long,keyframes:array<struct<offset:long,length:long>>>"
+
+
+def _tracks(files: list[list[dict]]) -> pa.Array:
+    """The tracks of each file as a list of structs; keyframes go from numpy to Arrow as whole columns."""
+    every = [track for tracks in files for track in tracks]
+    keys = np.concatenate([np.empty((0, 2), np.int64), *(track["keyframes"] for track in every)])
+    ends = np.cumsum([0, *(len(track["keyframes"]) for track in every)])
+    ranges = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1])], ["offset", "length"]))
+    columns = {
+        "codec": pa.array([track["codec"] for track in every], pa.string()),
+        "duration": pa.array([track["duration"] for track in every], pa.float64()),
+        "n_frames": pa.array([len(track["offset"]) for track in every], pa.int64()),
+        "keyframes": ranges,
+    }
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, files)]), pa.int32()), pa.StructArray.from_arrays(list(columns.values()), list(columns)))
 
 
 def _describe(batches: Iterator[pa.RecordBatch], payload: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, 1):
-            rows = []
+            files, digests = [], []
             for data in byte_rows(part.column(1)):
-                track = next(iter(read_media(data)["tracks"]), None)
-                row: dict = {"codec": None, "duration": None, "n_frames": 0, "keyframes": []}
-                if track:
-                    keys = [{"offset": int(a), "length": int(b)} for a, b in track["keyframes"]]
-                    row = {"codec": track["codec"], "duration": track["duration"], "n_frames": len(track["offset"]), "keyframes": keys}
+                files.append(read_media(data)["tracks"])
                 if payload:
-                    read = sample_bytes(data, track) if track else b""
-                    row |= {
-                        "payload_bytes": len(read),
-                        "payload_sha256": hashlib.sha256(read).hexdigest(),
-                        "tail_crc32": zlib.crc32(read[-32:]),
-                        "media_bytes": len(data),
-                        "media_sha256": hashlib.sha256(data).hexdigest(),
-                    }
-                rows.append(row)
-            ranges = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))
-            kinds = {"codec": pa.string(), "duration": pa.float64(), "n_frames": pa.int64(), "keyframes": ranges}
-            kinds |= {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string()} if payload else {}
-            values = [pa.array([r[k] for r in rows], kind) for k, kind in kinds.items()]
-            rest = [part.column(0), *part.columns[2:]]
-            names = ["id", *batch.schema.names[2:]]
-            yield pa.RecordBatch.from_arrays([*rest, *values], [*names, *kinds])
+                    read = b"".join(sample_bytes(data, track) for track in files[-1])
+                    digests.append((len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-32:]), len(data), hashlib.sha256(data).hexdigest()))
+            values = [part.column(0), *part.columns[2:], _tracks(files)]
+            names = ["id", *batch.schema.names[2:], "tracks"]
+            if payload:
+                kinds = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string()}
+                values += [pa.array(column, kind) for column, kind in zip(zip(*digests), kinds.values())]
+                names += kinds
+            yield pa.RecordBatch.from_arrays(values, names)
 
 
 def store_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,15 +218,16 @@ def store_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def media_columns(df: DataFrame, media_col: str = "media", id_col: str = "doc_id", keep: tuple[str, ...] = (), payload: bool = False) -> DataFrame:
-    """The id column, those in `keep`, then codec, duration, n_frames and keyframes of the first track.
+    """The id column, those in `keep`, then tracks: codec, duration, n_frames and keyframes (offset and length
+    in the file) of each track, in the order of the file.
 
-    Bytes that hold no track (null, empty or broken ones too) give a null codec and duration and
-    no frames. With `payload`, also digests of the stored bytes of its samples and of the file.
+    Bytes that hold no track (null, empty or broken ones too) give an empty array. With `payload`, also
+    digests of the stored bytes of the samples of all tracks, and of the file.
     """
     ship(df.sparkSession)
     kind = {c: df.schema[c].dataType.simpleString() for c in (id_col, *keep)}
     more = ", payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string" if payload else ""
-    schema = ", ".join([f"id {kind[id_col]}", *(f"k{i} {kind[c]}" for i, c in enumerate(keep)), MEDIA + more])
+    schema = ", ".join([f"id {kind[id_col]}", *(f"k{i} {kind[c]}" for i, c in enumerate(keep)), f"tracks array<{TRACK}>" + more])
     narrow = df.select(F.col(id_col).alias("id"), F.col(media_col).alias("m"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)))
     out = narrow.mapInArrow(lambda batches: _describe(batches, payload), schema)
     return out.withColumnsRenamed({"id": id_col} | {f"k{i}": c for i, c in enumerate(keep)})
@@ -233,15 +237,16 @@ def text_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """Store each text as media in the shared folder, read it back and describe it.
 
     Returns the id column, n_bytes, the columns of `media_columns` with payload digests, and
-    feature: codec, sample rate of the format, seconds, frames and keyframe ranges as text. Equal texts
+    feature: codec, seconds, frames, keyframes and the last one's byte range as text. Equal texts
     (a null one equals an empty one) have equal values; repeated rows and ids give a row each; an
     empty table gives no rows; other columns are not read.
     """
     files = stored(store_texts(df, id_col, text_col), "media")
     read = media_columns(files, id_col=id_col, keep=("n_bytes",), payload=True)
-    last = F.element_at("keyframes", -1)
+    track = F.get("tracks", F.lit(0))
+    last = F.element_at(track["keyframes"], -1)
     feature = F.format_string(
         "codec=%s;seconds=%.6f;frames=%d;keyframes=%d;last=%d+%d",
-        F.trim("codec"), "duration", "n_frames", F.size("keyframes").cast("long"), last["offset"], last["length"],
+        F.trim(track["codec"]), track["duration"], track["n_frames"], F.size(track["keyframes"]).cast("long"), last["offset"], last["length"],
     )
     return read.withColumn("feature", feature)

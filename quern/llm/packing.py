@@ -15,13 +15,14 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.bytebpe import VOCABULARY, encode
-from quern.llm.common import ship, spread, stored, tokenizer_path
+from quern.llm.common import ship, spread, stored
 
 SIZE, END = 1024, 0
 
@@ -31,7 +32,10 @@ def place_lengths(histogram: dict[int, int], size: int = SIZE) -> list[tuple[tup
     open_packs: dict[int, list[tuple[tuple[int, ...], int]]] = defaultdict(list)  # by free space
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
-        for free in sorted((f for f in open_packs if f >= length), reverse=True):
+        # the emptiest packs come first; what one piece makes of them is met again further down
+        for free in range(size, length - 1, -1):
+            if not open_packs.get(free):
+                continue
             packs, changed = open_packs[free], []
             while packs and left:
                 pattern, n = packs.pop()
@@ -123,7 +127,7 @@ def pack_documents(
     size: int = SIZE,
     end: int = END,
     with_ids: bool = False,
-    path: str = tokenizer_path(VOCABULARY),
+    path: str = public_tokenizers.path(VOCABULARY),
 ) -> DataFrame:
     """Pieces of all documents and their places: the id column, start, length, ids_crc32,
     doc_tokens, sequence_id, offset; with `with_ids` also ids (little-endian 32-bit).

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quern.llm.common import table
 
@@ -13,9 +14,11 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.media import text_media
 
     out = text_media(table(spark, sf_dir, "documents"))
+    track = F.get("tracks", F.lit(0))
+    keyframes = F.array_join(F.transform(track["keyframes"], lambda k: F.concat_ws("+", k["offset"], k["length"])), ";")
     return out.select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature",
-        "codec", "duration", "n_frames",
+        track["codec"].alias("codec"), track["duration"].alias("duration"), track["n_frames"].alias("n_frames"), keyframes.alias("keyframes"),
     )
 
 
@@ -88,6 +91,58 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: The boxes of a stored text as hexadecimal numbers, with its ticks and frames in their places; the CRC is
+#: reckoned bit by bit.
+OP1_SQL = r"""
+WITH raw AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS raw FROM documents
+), sized AS (
+  SELECT doc_id, raw, octet_length(raw) AS n_bytes, greatest(1, (octet_length(raw) + 575) // 576) AS frames FROM raw
+), filled AS (
+  SELECT doc_id, n_bytes, frames, frames * 576 AS ticks, raw || unhex(repeat('FF', frames * 576 - n_bytes)) AS payload FROM sized
+), held AS (
+  SELECT *, printf('%08x', ticks) AS t, printf('%08x', frames) AS f FROM filled
+), media AS (
+  SELECT *,
+    unhex('000000186674797069736f6d0000020069736f6d6d703431')
+    || unhex(printf('%08x', ticks + 8) || '6d646174') || payload
+    || unhex(
+      '000001f56d6f6f76'
+      || '0000006c6d766864' || '000000000000000000000000' || '00001f40' || t || '00010000' || '0100' || repeat('00', 10)
+      || '000100000000000000000000000000000001000000000000000000000000000040000000' || repeat('00', 24) || '00000002'
+      || '000001817472616b'
+      || '0000005c746b6864' || '00000007' || '0000000000000000' || '00000001' || '00000000' || t || repeat('00', 12) || '0100' || '0000'
+      || '000100000000000000000000000000000001000000000000000000000000000040000000' || repeat('00', 8)
+      || '0000011d6d646961'
+      || '000000206d646864' || '000000000000000000000000' || '00001f40' || t || '55c40000'
+      || '0000002168646c72' || '0000000000000000' || '736f756e' || repeat('00', 13)
+      || '000000d46d696e66'
+      || '00000010736d6864' || repeat('00', 8)
+      || '0000002464696e66' || '0000001c64726566' || '0000000000000001' || '0000000c75726c2000000001'
+      || '000000987374626c'
+      || '0000003473747364' || '0000000000000001' || '0000002472617720' || '0000000000000001' || repeat('00', 8) || '0001' || '0008' || '00000000' || '1f400000'
+      || '0000001873747473' || '0000000000000001' || f || '00000240'
+      || '0000001c73747363' || '0000000000000001' || '00000001' || f || '00000001'
+      || '000000147374737a' || '00000000' || '00000240' || f
+      || '000000147374636f' || '0000000000000001' || '00000020'
+    ) AS media
+  FROM held
+), tail AS (
+  SELECT *, right(hex(payload), 64) AS last FROM media
+), bits AS (
+  SELECT *, list_transform(range(0, 256), lambda k: (('0x' || substr(last, 2 * (k // 8) + 1, 2))::BIGINT >> (k % 8)::BIGINT) & 1) AS bit FROM tail
+)
+SELECT doc_id, n_bytes::BIGINT AS n_bytes, ticks::BIGINT AS payload_bytes, sha256(payload) AS payload_sha256,
+  xor(list_reduce(list_concat([4294967295]::BIGINT[], bit::BIGINT[]),
+                  lambda c, b: xor(c >> 1, CASE WHEN xor(c & 1, b) = 1 THEN 3988292384 ELSE 0 END)), 4294967295)::BIGINT AS tail_crc32,
+  octet_length(media)::BIGINT AS media_bytes, sha256(media) AS media_sha256,
+  'codec=raw;seconds=' || printf('%.6f', ticks / 8000.0::DOUBLE) || ';frames=' || frames || ';keyframes=' || frames
+    || ';last=' || (32 + 576 * (frames - 1)) || '+576' AS feature,
+  'raw ' AS codec, ticks / 8000.0::DOUBLE AS duration, frames::BIGINT AS n_frames,
+  array_to_string(list_transform(range(0, frames), lambda k: (32 + 576 * k) || '+576'), ';') AS keyframes
+FROM bits
+"""
+
 OP9_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
@@ -104,4 +159,4 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM w
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": OP9_SQL}
+    return {"op1_media_columns": OP1_SQL, "op9_exact_dedup": OP9_SQL}

@@ -14,13 +14,14 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.bytebpe import VOCABULARY, encode
-from quern.llm.common import parts, ranges, ship, stored, tokenizer_path
+from quern.llm.common import parts, ranges, ship, stored
 
 MAGIC, TERMINALS, SYMBOLS = b"RPG1", 50257, 1 << 16
 BLOCK, LEAST, END = 1 << 20, 32, 2
@@ -185,7 +186,7 @@ def write_ids(
     text_col: str = "text",
     end: int = END,
     block: int = BLOCK,
-    path: str = tokenizer_path(VOCABULARY),
+    path: str = public_tokenizers.path(VOCABULARY),
 ) -> DataFrame:
     """Encode all documents in ascending id order into block files; returns the table of the files:
     part, start (ids before the block in its part), n_ids, doc_ids, block.

@@ -14,11 +14,12 @@ import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import Memo, ship, spread, tokenizer_path
+from quern.llm.common import Memo, ship, spread
 
 MODEL = "piece_bpe_32k.model"
 #: Fixed values of the model format: the mark of a space, and the types of pieces.
@@ -100,7 +101,6 @@ class MergeModel:
         self.automaton.make_automaton()
         self.compatible = Memo(self._apart)
         self.word = Memo(self._word)
-        self.odd: dict[str, str] = {}
 
     def _spines(self, piece: str) -> tuple[list, list] | None:
         """What stands at the left end and at the right end of a piece while it is merged, with scores
@@ -209,14 +209,12 @@ class MergeModel:
                 stack[-1] += last
         return stack
 
-    def _word(self, part: str) -> str:
-        """Joined ids of a chunk, or of the characters after a single mark; what they decode to is
-        kept where it isn't the chunk itself."""
+    def _word(self, part: str) -> tuple[str, str]:
+        """Joined ids of a chunk, or of the characters after a single mark, and what they decode to.
+
+        A chunk's first id is a piece of text, so no bytes are decoded together over two chunks."""
         ids = self.chunk(part if part.startswith(SPACE) else SPACE + part)
-        decoded = self.decode_part(ids)
-        if decoded != (part.replace(SPACE, " ") if part.startswith(SPACE) else " " + part):
-            self.odd[part] = decoded  # only models that drop or change text put anything here
-        return ",".join(map(str, ids))
+        return ",".join(map(str, ids)), self.decode_part(ids)
 
     def chunks(self, text: str) -> list[str]:
         """A text cut before each run of space marks; nothing merges over these cuts."""
@@ -250,21 +248,16 @@ class MergeModel:
         return text[1:] if start < len(ids) and self.pieces[ids[start]][0].startswith(SPACE) else text
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the joined ids, SHA-256 of the decoded text."""
+        """Number of ids, SHA-256 of the joined ids, SHA-256 of the text that is decoded from them."""
         if not text:
             return 0, _sha(""), _sha("")
         if "  " in text or SPACE in text or text[0] == " " or text[-1] == " ":
-            parts, space = self.chunks(text), ""
-        else:
-            parts, space = text.split(" "), " "
-        joined = ",".join(map(self.word.__getitem__, parts))
-        if not space:
-            decoded = "".join([self.odd.get(p) or p.replace(SPACE, " ") for p in parts])[1:]
-        elif self.odd:
-            decoded = "".join([self.odd.get(p) or " " + p for p in parts])[1:]
+            parts = self.chunks(text)
         else:
-            decoded = " ".join(parts)
-        return joined.count(",") + 1, _sha(joined), _sha(decoded)
+            parts = text.split(" ")
+        ids, decoded = zip(*map(self.word.__getitem__, parts))
+        joined = ",".join(ids)
+        return joined.count(",") + 1, _sha(joined), _sha("".join(decoded)[1:])
 
 
 def _sha(text: str) -> str:
@@ -292,7 +285,7 @@ def _replaced(raw: bytes) -> str:
 
 
 @lru_cache(2)
-def model(path: str = tokenizer_path(MODEL)) -> MergeModel:
+def model(path: str = public_tokenizers.path(MODEL)) -> MergeModel:
     return MergeModel(path)
 
 
@@ -325,7 +318,7 @@ def _narrow(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
     return spread(df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))), kind
 
 
-def sentencepiece_ids(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = tokenizer_path(MODEL)) -> DataFrame:
+def sentencepiece_ids(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = public_tokenizers.path(MODEL)) -> DataFrame:
     """Ids of each text and the text decoded from them: the id column, ids, decoded.
 
     A null or empty text has no ids. Repeated rows give a row each, an empty table none; other
@@ -335,7 +328,7 @@ def sentencepiece_ids(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return narrow.mapInArrow(_encoded(path), f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
 
 
-def sentencepiece_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = tokenizer_path(MODEL)) -> DataFrame:
+def sentencepiece_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = public_tokenizers.path(MODEL)) -> DataFrame:
     """As `sentencepiece_ids`, with digests in place of ids and text: n_tokens, ids_sha256, decoded_sha256."""
     narrow, kind = _narrow(df, id_col, text_col)
     out = narrow.mapInArrow(_digests(path), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -12,11 +12,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import Memo, ship, spread, tokenizer_path
+from quern.llm.common import Memo, ship, spread
 from quern.llm.spm import BYTE, MODEL, NORMAL, SPACE, read_model
 
 #: Fixed value of the library: what an unknown character scores below the worst piece.
@@ -86,7 +87,7 @@ class UnigramCounter:
 
 
 @lru_cache(2)
-def counter(path: str = tokenizer_path(MODEL)) -> UnigramCounter:
+def counter(path: str = public_tokenizers.path(MODEL)) -> UnigramCounter:
     """The normal pieces of a model file and their scores, read as a unigram vocabulary."""
     pieces = read_model(path)[0]
     return UnigramCounter([(text, score) for text, score, kind in pieces if kind == NORMAL], any(kind == BYTE for _, _, kind in pieces))
@@ -103,7 +104,7 @@ def _counts(path: str):
     return run
 
 
-def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = tokenizer_path(MODEL)) -> DataFrame:
+def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = public_tokenizers.path(MODEL)) -> DataFrame:
     """The id column, n_tokens and score of the best path of each whole text.
 
     A null or empty text has 0 tokens and score 0. Repeated rows give a row each, an empty table

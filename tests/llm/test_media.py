@@ -1,11 +1,14 @@
 import hashlib
+import os
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from quern.llm.media import FRAME, _box, _full, media_columns, read_media, sample_bytes, text_media, wrap
+from quern.llm.queries import op1_media_columns, oracle_sql
 
 
 def payload(text):
@@ -22,7 +25,7 @@ def test_round_trip(n):
     assert stored[:n] == raw and set(stored[n:]) <= {255} and len(stored) % FRAME == 0 and len(stored) > 0
     assert track["codec"] == "raw " and track["duration"] == len(stored) / 8000
     start, size = track["keyframes"][-1]
-    assert data[start : start + size] in stored and len(track["keyframes"]) == -(-(len(stored) // FRAME) // 16)
+    assert data[start : start + size] in stored and len(track["keyframes"]) == len(stored) // FRAME
 
 
 def test_interleaved_chunks_and_variable_sizes():
@@ -73,11 +76,53 @@ def test_text_media(edge, edge_rows, nothing):
         whole = payload(text)
         assert (r.doc_id, r.n_bytes, r.payload_bytes) == (doc, len((text or "").encode()), len(whole))
         assert r.payload_sha256 == hashlib.sha256(whole).hexdigest() and r.tail_crc32 == zlib.crc32(whole[-32:])
-        assert r.media_bytes > r.payload_bytes and r.codec == "raw " and r.n_frames == len(whole) // FRAME
+        (track,), media = r.tracks, wrap((text or "").encode())
+        assert r.media_bytes == len(media) and track.codec == "raw " and track.n_frames == len(whole) // FRAME
+        assert b"".join(media[k.offset : k.offset + k.length] for k in track.keyframes) == whole  # every sample is a keyframe
     assert text_media(nothing).count() == 0
 
 
 def test_media_columns_of_other_bytes(spark):
     df = spark.createDataFrame([(1, wrap(b"x")), (2, None), (3, b""), (4, b"junk" * 50)], "doc_id bigint, media binary")
-    got = {r.doc_id: (r.codec, r.duration, r.n_frames, len(r.keyframes)) for r in media_columns(df).collect()}
-    assert got == {1: ("raw ", FRAME / 8000, 1, 1), 2: (None, None, 0, 0), 3: (None, None, 0, 0), 4: (None, None, 0, 0)}
+    got = {r.doc_id: [(t.codec, t.duration, t.n_frames, len(t.keyframes)) for t in r.tracks] for r in media_columns(df).collect()}
+    assert got == {1: [("raw ", FRAME / 8000, 1, 1)], 2: [], 3: [], 4: []}
+
+
+def test_all_tracks_are_described(spark):
+    """Sound first, then pictures, which alone have a table of sync samples."""
+
+    def track(codec, sizes, chunk, scale, step, keys=()):
+        tables = _box(
+            b"stbl",
+            _full(b"stsd", struct.pack(">I", 1), _box(codec, bytes(20))),
+            _full(b"stts", struct.pack(">III", 1, len(sizes), step)),
+            _full(b"stss", struct.pack(f">I{len(keys)}I", len(keys), *keys)) if keys else b"",
+            _full(b"stsc", struct.pack(">IIII", 1, 1, len(sizes), 1)),
+            _full(b"stsz", struct.pack(f">II{len(sizes)}I", 0, len(sizes), *sizes)),
+            _full(b"stco", struct.pack(">II", 1, chunk)),
+        )
+        return _box(b"trak", _box(b"mdia", _full(b"mdhd", struct.pack(">IIIII", 0, 0, scale, 0, 0)), _box(b"minf", tables)))
+
+    head = _box(b"ftyp", b"isom")
+    at = len(head) + 8
+    data = head + _box(b"mdat", b"aabbb" + b"PIC1p2p3PIC4") + _box(b"moov", track(b"mp4a", [2, 3], at, 100, 50), track(b"avc1", [4, 2, 2, 4], at + 5, 30, 15, (1, 4)))
+    row = media_columns(spark.createDataFrame([(1, data)], "doc_id bigint, media binary"), payload=True).first()
+    sound, pictures = row.tracks
+    assert (sound.codec, sound.duration, sound.n_frames) == ("mp4a", 1.0, 2) and (pictures.codec, pictures.duration, pictures.n_frames) == ("avc1", 2.0, 4)
+    cut = [[data[k.offset : k.offset + k.length] for k in t.keyframes] for t in row.tracks]
+    assert cut == [[b"aa", b"bbb"], [b"PIC1", b"PIC4"]]
+    assert row.payload_bytes == 17 and row.payload_sha256 == hashlib.sha256(b"aabbbPIC1p2p3PIC4").hexdigest()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+def test_query_equals_sql(spark, edge, tmp_path):
+    import duckdb
+
+    edge.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    for folder, files in ((str(tmp_path), f"{tmp_path}/documents.parquet/*.parquet"), ("/root/testdata/sf0.001", "/root/testdata/sf0.001/documents.parquet")):
+        got = op1_media_columns(spark, folder)
+        with duckdb.connect() as base:
+            base.sql(f"CREATE VIEW documents AS SELECT * FROM '{files}'")
+            want = base.sql(oracle_sql()["op1_media_columns"])
+            assert sorted(want.columns) == sorted(got.columns)
+            assert Counter(want.project(", ".join(got.columns)).fetchall()) == Counter(map(tuple, got.collect()))

@@ -1,22 +1,20 @@
 """Packing, token counts, SentencePiece and id files against the libraries."""
 
 import hashlib
-import os
 import random
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
 
 from quern.llm.bytebpe import encode
-from quern.llm.common import TOKENIZER_DIR, tokenizer_path
 from quern.llm.packing import pack_documents, place_lengths, slots
 from quern.llm.repair import LEAST, TERMINALS, Block, compress, read_ids, write_ids
 from quern.llm.spm import BYTE, MODEL, NORMAL, model, read_model, sentencepiece_digests, sentencepiece_ids
 from quern.llm.token_count import UnigramCounter, counter, token_counts
 
-pytestmark = pytest.mark.skipif(not os.path.isdir(TOKENIZER_DIR), reason="no tokenizer files here")
 PARTS = [" ", " ", "  ", "     ", "\n", "\r\n", "\t", "a", "the", "The", "in", "er", "1", "23", ".", "!!", "é", "ß", " ", "　", "😀", "▁", "▁▁", '"', "don't", "\x00", "​", "ñó", "ing", "tion", "日本", "ﬁ", "ท", "�", "zq", "<|endoftext|>", "<s>", "\x1c", "\x85", " " * 17]
 
 
@@ -28,7 +26,7 @@ def texts(n, seed):
 def byte_bpe():
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_byte_bpe_equals_tokenizers():
@@ -50,7 +48,7 @@ def test_byte_bpe_of_long_white_space_equals_tokenizers():
 def test_sentencepiece_equals_library():
     import sentencepiece
 
-    library, own = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(MODEL)), model()
+    library, own = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(MODEL)), model()
     for text in texts(8000, 2):
         ids = library.encode(text)
         assert own.encode(text) == ids, repr(text)
@@ -66,7 +64,7 @@ def test_sentencepiece_equals_library():
 def test_runs_of_spaces_equal_library():
     import sentencepiece
 
-    library, own = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(MODEL)), model()
+    library, own = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(MODEL)), model()
     for n in range(1, 140):
         for text in (" " * n, "a" + " " * n + "b", " " * n + "é"):
             assert own.encode(text) == library.encode(text), repr(text)
@@ -97,7 +95,7 @@ def unigram(vocabulary, fallback):
 
 
 def test_token_counts_equal_library():
-    pieces = read_model(tokenizer_path(MODEL))[0]
+    pieces = read_model(public_tokenizers.path(MODEL))[0]
     worst = [(text, -1e9) for text, _, kind in pieces if kind == BYTE]
     library = unigram([("<unk>", -1e9)] + [(t, s) for t, s, kind in pieces if kind == NORMAL] + worst, True)
     for text in texts(4000, 6):
@@ -120,7 +118,7 @@ def test_token_counts_with_ties_and_few_pieces(fallback):
 def test_digests_and_counts_of_edge_rows(edge, edge_rows, nothing):
     import sentencepiece
 
-    library = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(MODEL))
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(MODEL))
     want = Counter((doc, ",".join(map(str, library.encode(text or "")))) for doc, text, *_ in edge_rows)
     assert Counter((r.doc_id, ",".join(map(str, r.ids))) for r in sentencepiece_ids(edge).collect()) == want
     digests = Counter((doc, ids.count(",") + bool(ids), hashlib.sha256(ids.encode()).hexdigest()) for doc, ids in want.elements())
@@ -176,6 +174,29 @@ def test_place_lengths():
         assert len(places) == sum(case.values())
 
 
+def one_by_one(histogram, size):
+    """How full packs get when each piece, longest first, goes to the shortest pack that takes it."""
+    packs = []
+    for length in sorted(histogram, reverse=True):
+        for _ in range(histogram[length]):
+            least = min(range(len(packs)), key=packs.__getitem__, default=None)
+            if least is not None and packs[least] + length <= size:
+                packs[least] += length
+            else:
+                packs.append(length)
+    return Counter(packs)
+
+
+def test_places_are_those_of_shortest_pack_first():
+    r = random.Random(12)
+    cases = [({6: 1, 2: 2}, 10)] + [({r.randint(1, 40): r.randint(1, 9) for _ in range(r.randint(1, 15))}, 40) for _ in range(200)]
+    for histogram, size in cases:
+        got = Counter()
+        for pattern, n in place_lengths(histogram, size):
+            got[sum(pattern)] += n
+        assert got == one_by_one(histogram, size), histogram
+
+
 def test_pack_documents(edge, edge_rows, nothing):
     library = byte_bpe()
     want = Counter()
