@@ -69,8 +69,8 @@ class Query:
 
     @property
     def key(self) -> tuple:
-        """Equal for queries that have equal results; the table's version is part of it."""
-        return (self.table.version, self.filters_, self.groups, self.aggregates_, self.selection, self.limit_)
+        """Equal for queries that have equal results or equal faults; the table's version is part of it."""
+        return (self.table.version, self.filters_, self.groups, self.aggregates_, self.selection, self.limit_, self.allow_any_key)
 
     def _condition(self) -> Column | None:
         made = None

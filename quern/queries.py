@@ -9,9 +9,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.errors import LoadError
 from quern.functions.predicates import between, equals, float_value, greater_than, int_value, less_than
 from quern.model import Table
 from quern.operators.cache import ResultCache
+from quern.operators.results import Result
+from quern.plans.query import Query
 from quern.sources.delimited import read_csv
 from quern.sources.generate import prices, sales, write_csv
 from quern.sources.tables import from_dataframe, from_parquet
@@ -248,12 +251,63 @@ def cached_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cached_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     query = _table(spark, sf_dir, "orders").query(ResultCache(persist_filters=True)).where("o_totalprice", greater_than(250000.0))
     query.aggregate("o_custkey", "count").execute()
-    return query.group_by("o_orderstatus").aggregate("o_custkey", "count").to_df()
+    counted = query.group_by("o_orderstatus").aggregate("o_custkey", "count").execute().value
+    query.cache.clear()  # what it persisted goes
+    return spark.createDataFrame(list(counted.items()), "o_orderstatus string, o_custkey_count bigint")
+
+
+def _twice(query: Query) -> tuple[Result, int]:
+    """A result that was asked for twice, and how often the cache had it."""
+    query.execute()
+    return query.execute(), query.cache.hits
+
+
+@_query(
+    "cached_group_by",
+    "SELECT o_orderstatus, CAST(sum(o_custkey) AS BIGINT) AS o_custkey_sum, 1 AS hits FROM orders WHERE o_totalprice > 100000.0 GROUP BY o_orderstatus",
+)
+def cached_group_by(spark: SparkSession, sf_dir: str) -> DataFrame:
+    query = _table(spark, sf_dir, "orders").query(ResultCache()).where("o_totalprice", greater_than(100000.0))
+    got, hits = _twice(query.group_by("o_orderstatus").aggregate("o_custkey", "sum"))
+    return spark.createDataFrame([(key, n, hits) for key, n in got.value.items()], "o_orderstatus string, o_custkey_sum bigint, hits int")
+
+
+@_query(
+    "cached_group_by_keys",
+    """SELECT o_orderstatus, o_orderpriority, CAST(sum(o_custkey) AS BIGINT) AS total, max(o_totalprice) AS most, 1 AS hits
+       FROM orders GROUP BY o_orderstatus, o_orderpriority""",
+)
+def cached_group_by_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    query = _table(spark, sf_dir, "orders").query(ResultCache()).group_by("o_orderstatus", "o_orderpriority")
+    got, hits = _twice(query.aggregates([("o_custkey", "sum", "total"), ("o_totalprice", "max", "most")]))
+    rows = [(*keys, of["total"], of["most"], hits) for keys, of in got.value.items()]
+    return spark.createDataFrame(rows, "o_orderstatus string, o_orderpriority string, total bigint, most double, hits int")
+
+
+@_query(
+    "cached_multi_aggregate",
+    "SELECT min(o_totalprice) AS least, max(o_totalprice) AS most, count(o_custkey) AS n, 1 AS hits FROM orders WHERE o_orderstatus = 'F'",
+)
+def cached_multi_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    query = _table(spark, sf_dir, "orders").query(ResultCache()).where("o_orderstatus", equals("F"))
+    got, hits = _twice(query.aggregates([("o_totalprice", "min", "least"), ("o_totalprice", "max", "most"), ("o_custkey", "count", "n")]))
+    return spark.createDataFrame([(got.value["least"], got.value["most"], got.value["n"], hits)], "least double, most double, n bigint, hits int")
+
+
+@_query("cached_select", "SELECT event_id AS row_index, event_type, value, 1 AS hits FROM events WHERE event_type = 'error' ORDER BY event_id LIMIT 20")
+def cached_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    query = _table(spark, sf_dir, "events").query(ResultCache()).where("event_type", equals("error"))
+    got, hits = _twice(query.select("event_type", "value").limit(20))
+    rows = [(at, kind, value, hits) for at, kind, value in zip(got.rows, got.value["event_type"], got.value["value"])]
+    return spark.createDataFrame(rows, "row_index bigint, event_type string, value double, hits int")
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder that all machines share, if the session names one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    """A new folder that all machines share; only a session on one machine can do without a named one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise LoadError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    base = base or tempfile.gettempdir()
     path = f"{base.rstrip('/')}/quern-{uuid.uuid4().hex}"
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)

@@ -24,6 +24,10 @@ INT = r"^-?[0-9]+\z"
 FLOAT = r"(?i)^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf|infinity|nan)\z"
 
 
+#: Lines that are looked at for a header and a first data row before all lines are.
+PEEK = 64
+
+
 def infer(value: str) -> ColType:
     """bigint if the text is a whole number of 64 bits, else double if it is a number, else string."""
     if re.match(INT.replace(r"\z", r"\Z"), value) and -(1 << 63) <= int(value) < 1 << 63:
@@ -115,30 +119,59 @@ def _names(header: str) -> list[str]:
     return names
 
 
+def _lines(text: DataFrame, header: str) -> DataFrame:
+    """All lines, and which of them are the first ones of their files.
+
+    A line's number in its task tells the first line of one file. In a folder, where a task reads parts of
+    several files, a header is a line equal to it in the first part of a file; if a file has
+    more of those, which one scan of the lines tells, it is the one with the least number.
+    """
+    if len(text.inputFiles()) == 1:
+        return text.select("value", (F.monotonically_increasing_id() == 0).alias("is_header"))
+    marked = text.select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.monotonically_increasing_id().alias("at"),
+        (F.col("value").isin(header, header + "\r") & (F.col("_metadata.file_block_start") == 0)).alias("is_header"),
+    )
+    found = marked.filter("is_header").groupBy("file").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").persist()
+    try:
+        if found.isEmpty():
+            return marked.select("value", "is_header")
+        # a row for each such file; the driver lists them anyway
+        firsts = text.sparkSession.createDataFrame(found.select("file", "first").collect(), "file string, first bigint")
+    finally:
+        found.unpersist()
+    one = F.col("is_header") & (F.coalesce("first", "at") == F.col("at"))
+    return marked.join(F.broadcast(firsts), "file", "left").select("value", one.alias("is_header"))
+
+
 def read_csv(spark: SparkSession, path: str) -> tuple[Table, LoadReport]:
     """A table over one file, or over a folder of files that all start with the same header line.
 
     Blank lines are passed over, rows of another width are dropped, cells that are no number of their
-    column's type are NULL. Row positions count the rows that are kept. In a folder every line equal
-    to the header is taken for one.
+    column's type are NULL. Row positions count the rows that are kept. In a folder the first line
+    of a file is passed over if it equals the header; a later line that does is data, as in one file.
     """
     try:
         text = spark.read.text(path, lineSep="\n")
-        first = text.filter(F.col("_metadata.file_block_start") == 0).head(1)
+        top = [row["value"] for row in text.filter(F.col("_metadata.file_block_start") == 0).head(PEEK)]
     except AnalysisException as error:
         raise LoadError(str(error)) from error
-    if not first:
+    if not top:
         raise LoadError("Missing header line")
-    header = first[0]["value"].removesuffix("\r")
+    header = top[0].removesuffix("\r")
     names = _names(header.removeprefix("\ufeff"))
-    several = len(text.inputFiles()) > 1
-    is_header = F.col("value").isin(header, header + "\r") if several else F.monotonically_increasing_id() == 0
-    lines = text.select("value", is_header.alias("is_header"))
+    lines = _lines(text, header)
     body = lines.filter(_is_data())
-    sample = body.head(1)
-    if not sample:
-        raise LoadError("No data rows")
-    fields = sample[0]["value"].removesuffix("\r").split(",")
+    # most files have data right after the header, of which a folder's first file could have no more
+    sample = next((line for line in top[1:] if line not in ("", "\r", header, header + "\r")), None)
+    if sample is None:
+        found = body.head(1)
+        if not found:
+            raise LoadError("No data rows")
+        sample = found[0]["value"]
+    fields = sample.removesuffix("\r").split(",")
     if len(fields) != len(names):
         raise LoadError(f"Header/data mismatch: {len(names)} vs {len(fields)}")
     types = [infer(value) for value in fields]

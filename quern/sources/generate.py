@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Fixed values of the generated tables.
 CATEGORIES = ("A", "B", "C", "D")
 REGIONS = ("US", "EU", "ASIA", "AFRICA", "AUSTRALIA", "SOUTH AMERICA")
 

@@ -50,6 +50,7 @@ def test_missing_file(spark, tmp_path):
 
 
 def test_three_columns(load):
+    # fixed values of a fixture that the described behaviour names: three rows and their sum
     table, report = load("id,value\n1,10\n2,20\n3,30\n")
     assert table.df.dtypes == [("id", "bigint"), ("value", "bigint")]
     assert table.aggregate("value", "sum") == 60 and report.rows_processed == 3
@@ -120,6 +121,33 @@ def test_positions_over_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_a_data_row_equal_to_the_header(spark, tmp_path):
+    """It is a row in a folder as it is in one file, wherever the file's lines are read."""
+    parts = ["k,v\na,b\nk,v\nc,d\n", "k,v\n" + "x,y\n" * 5 + "k,v\nk,v\r\n", "k,v\r\ne,f\n", "k,v\n", "g,h\n"]
+    want = []
+    for k, part in enumerate(parts):
+        (tmp_path / f"{k}.csv").write_bytes(part.encode())
+        lines = part.replace("\r", "").splitlines()
+        want += [tuple(line.split(",")) for line in (lines if lines[0] != "k,v" else lines[1:])]
+    table, report = read_csv(spark, str(tmp_path))
+    assert sorted(rows(table)) == sorted(want) and errors(report) == []
+    assert sorted(r["row_index"] for r in table.indexed().collect()) == list(range(len(want)))
+    (tmp_path / "1.csv").rename(tmp_path / "only")
+    assert len(rows(read_csv(spark, str(tmp_path / "only"))[0])) == 7
+
+
+def test_data_far_from_the_header(spark, tmp_path, load):
+    assert rows(load("v\n" + "\n" * 200 + "7\n")[0]) == [(7,)]
+    for k in range(100):
+        (tmp_path / "many").mkdir(exist_ok=True)
+        (tmp_path / "many" / f"{k:03}.csv").write_text("v\n" if k else "v\n5\n")
+    assert rows(read_csv(spark, str(tmp_path / "many"))[0]) == [(5,)]
+    for file in (tmp_path / "many").iterdir():
+        file.write_text("v\n\n")
+    with pytest.raises(LoadError, match="No data rows"):
+        read_csv(spark, str(tmp_path / "many"))
+
+
 def test_folder_round_trip(spark, tmp_path):
     made = sales(spark, 2000)
     write_csv(made, f"{tmp_path}/out")

@@ -141,6 +141,28 @@ def test_cache(spark, sales, numbers):
     assert len(small) == 0
 
 
+def test_cache_holds_no_way_around_checks(sales):
+    cache = ResultCache()
+    assert len(sales.query(cache).group_by("sales", allow_any_key=True).aggregate("price", "sum").execute().value) == 5
+    with pytest.raises(QueryError, match="text column"):
+        sales.query(cache).group_by("sales").aggregate("price", "sum").execute()
+
+
+def test_cached_results_of_all_kinds(sales):
+    cache = ResultCache()
+    q = sales.query(cache).where("sales", greater_than(60))
+    made = [
+        q.aggregate("sales", "sum"), q.aggregates([("sales", "min"), ("price", "max")]), q.group_by("region").aggregate("sales", "avg"),
+        q.group_by("region").aggregates([("sales", "avg"), ("price", "min")]), q.group_by("region", "category").aggregate("sales", "count"),
+        q.select("region", "sales"), q, q.select("sales").limit(2),
+    ]
+    for k, query in enumerate(made):
+        first = query.execute()
+        assert query.execute() is first and cache.hits == k + 1
+        assert query.no_cache().execute() == first
+    assert len(cache) == len(made)
+
+
 def test_cached_filter(sales):
     cache = ResultCache(persist_filters=True)
     query = sales.query(cache).where("region", equals("US"))
