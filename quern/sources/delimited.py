@@ -52,11 +52,11 @@ class LoadReport:
     def errors(self) -> DataFrame:
         """row (line number, the first line's is 1), column, value, error: a row for each line of the
         wrong width (column "", error NULL) and for each cell that is no number of its column's type."""
-        data = numbered(self.lines, "row").filter(_is_data()).select((F.col("row") + 1).alias("row"), _split(), _width().alias("n"))
+        data = numbered(self.lines, "row").filter(_is_data()).select((F.col("row") + 1).alias("row"), _split())
         width = len(self.names)
         wrong_width = F.struct(
             F.lit("").alias("column"),
-            F.format_string(f"Expected {width} fields, got %d", F.col("n")).alias("value"),
+            F.format_string(f"Expected {width} fields, got %d", F.size("f")).alias("value"),
             F.lit(None).cast("string").alias("error"),
         )
         no_number = [
@@ -68,7 +68,7 @@ class LoadReport:
             if kind is not ColType.STR
         ]
         bad = F.filter(F.array(*no_number), lambda x: x.isNotNull()) if no_number else F.lit(None)
-        found = F.when(F.col("n") != width, F.array(wrong_width)).otherwise(bad)
+        found = F.when(F.size("f") != width, F.array(wrong_width)).otherwise(bad)
         return data.select("row", F.explode(found).alias("e")).select("row", "e.column", "e.value", "e.error")
 
 
@@ -76,11 +76,6 @@ def _is_data() -> Column:
     return ~F.col("is_header") & ~F.col("value").isin("", "\r")
 
 
-def _width() -> Column:
-    """Number of fields, without making them."""
-    return F.octet_length("value") - F.octet_length(F.replace("value", F.lit(","), F.lit(""))) + 1
-
-
 def _split() -> Column:
     return F.split("value", ",", -1).alias("f")
 
@@ -102,10 +97,11 @@ def _typed(value: Column, kind: ColType) -> Column:
     if kind is ColType.STR:
         return value
     number = value.try_cast(kind.value)
-    first, last = F.substring(value, 1, 1), F.substring(value, -1, 1)
+    # texts compare by bytes; the last byte is had without counting characters
+    digit_ends = F.substring(value.cast("binary"), -1, 1).between(F.lit(b"0"), F.lit(b"9"))
     if kind is ColType.INT:
-        return F.when(first.between("-", "9") & last.between("0", "9"), number)
-    plain = first.between("+", "9") & last.between("0", "9") & ~value.contains("x") & ~value.contains("X")
+        return F.when((value >= "-") & (value < ":") & digit_ends, number)
+    plain = (value >= "+") & (value < ":") & digit_ends & ~value.contains("x") & ~value.contains("X")
     return F.when(plain, number).when(value.rlike(FLOAT), number)
 
 
@@ -176,7 +172,9 @@ def read_csv(spark: SparkSession, path: str) -> tuple[Table, LoadReport]:
         raise LoadError(f"Header/data mismatch: {len(names)} vs {len(fields)}")
     types = [infer(value) for value in fields]
 
-    cells = body.filter(_width() == len(names)).select(_split())
+    # the number keeps the width's condition above the split, so that a line is split once
+    split = body.select(_split(), F.monotonically_increasing_id().alias("at"))
+    cells = split.filter((F.size("f") == len(names)) & (F.col("at") >= 0)).select("f")
     kept = cells.select(*(_typed(_cell(k, len(names)), kind).alias(name) for k, (name, kind) in enumerate(zip(names, types))))
     table = Table(kept, lambda: numbered(kept))
     return table, LoadReport(table, lines, names, types)
