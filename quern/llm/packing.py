@@ -4,8 +4,8 @@ Documents become pieces of at most `size` ids. Only the histogram of piece lengt
 numbers) reaches the driver, where lengths are placed longest first, each into the packs that hold
 least so far; what is updated are counts of packing patterns, never single packs. The patterns are
 then joined back by rank: the k-th piece of a length takes the k-th slot for that length. Ranks come
-from a counter kept while pieces are made and from sums of the counts of earlier tasks, so no
-sort and no window runs over the pieces.
+from a counter kept while pieces are made and from sums of the counts of earlier tasks, one array for
+each task, so no sort and no window runs over the pieces.
 """
 
 from __future__ import annotations
@@ -96,7 +96,13 @@ def _pieces(path: str, size: int, end: int, with_ids: bool):
                 names = ["id", "start", "length", "ids_crc32", "doc_tokens", "task", "local"]
                 if with_ids:
                     values, names = [*values, pa.array(kept, pa.binary())], [*names, "ids"]
-                yield pa.RecordBatch.from_arrays(values, names)
+                values.append(pa.nulls(len(rows), pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays(values, [*names, "seen"])
+        if seen.any():  # the last row of a task holds how many pieces of each length it made
+            kinds = [batch.schema.field(0).type] + [pa.int64()] * 6 + [pa.binary()] * with_ids
+            values = [pa.nulls(1, kind) for kind in kinds]
+            values[names.index("task")] = pa.array([task], pa.int64())
+            yield pa.RecordBatch.from_arrays([*values, pa.array([seen.tolist()], pa.list_(pa.int64()))], [*names, "seen"])
 
     return run
 
@@ -141,15 +147,19 @@ def pack_documents(
     kind = df.schema[id_col].dataType.simpleString()
     narrow = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, task long, local long"
-    pieces = stored(spread(narrow).mapInArrow(_pieces(path, size, end, with_ids), schema + ", ids binary" * with_ids), "pieces")
+    schema += ", ids binary" * with_ids + ", seen array<long>"
+    made = stored(spread(narrow).mapInArrow(_pieces(path, size, end, with_ids), schema), "pieces")
 
-    counts = stored(pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")), "lengths")
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # `size` rows at most
+    counts = stored(made.filter("seen is not null").select("task", F.posexplode("seen").alias("length", "n")), "lengths")
+    found = counts.groupBy("length").agg(F.sum("n").alias("n")).filter("n > 0").collect()  # `size` rows at most
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    sums = counts.select("task", F.struct("length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n")).alias("base"))
+    # `size` + 1 numbers for each task: broadcast while Spark finds that small, else pieces, without ids, go to their task's row
+    base = sums.groupBy("task").agg(F.sort_array(F.collect_list("base"))["n"].alias("base"))
 
-    shared = spark.sparkContext.broadcast(slots(place_lengths(histogram, size)))
-    ranked = pieces.join(base, ["length", "task"]).withColumn("rank", F.col("base") + F.col("local"))
+    shared = spark.sparkContext.broadcast(slots(place_lengths({r["length"]: r["n"] for r in found}, size)))
+    pieces = made.filter("seen is null").drop("seen")
+    ranked = pieces.join(base, "task").withColumn("rank", F.get("base", F.col("length").cast("int")) + F.col("local"))
     fields = ["id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
     schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
     out = ranked.select(*fields, "rank").mapInArrow(_assign(shared), schema + ", sequence_id long, offset long")
