@@ -81,10 +81,15 @@ def one_of_equals(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return _without(docs, exact_dedup(_keyed(docs), keep=("text_key",)))
 
 
+#: Near duplicates: words of a shingle, and the similarity of the sets of shingles.
+WORDS, SIMILARITY = 5, 0.8
+
+
 def one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near duplicates as op7_simhash defines them, one row of the smallest id (null ids last); short near
-    copies pass (README). Null and blank texts are alike. An empty table passes through."""
-    return _without(docs, near_duplicates(_keyed(docs), keep=("text_key",)))
+    """Of documents whose sets of WORDS-word shingles have a Jaccard similarity of SIMILARITY or more, as
+    the operator's sketches estimate it, or which a chain of such joins, one row of the smallest id (null
+    ids last). Null and blank texts are alike. An empty table passes through."""
+    return _without(docs, near_duplicates(_keyed(docs), words=WORDS, similarity=SIMILARITY, keep=("text_key",)))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

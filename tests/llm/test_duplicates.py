@@ -122,6 +122,94 @@ def test_near_with_drifting_copies(spark, bucket_rows):
     assert len({k[2] for k in near_brute(rows)}) < 200
 
 
+def shingles(text, words=5):
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    found = re.findall(r"[^\x20\x09-\x0D]+", low)
+    return {" ".join(found[k : k + words]) for k in range(max(1, len(found) - words + 1))} if found else set()
+
+
+def jaccard_brute(rows, similarity=0.8, words=5):
+    """For each row the smallest id of its component over pairs of that Jaccard similarity, by their definition."""
+    sets = [shingles(r[1], words) for r in rows]
+    label = list(range(len(rows)))
+
+    def root(k):
+        while label[k] != k:
+            k = label[k]
+        return k
+
+    for a in range(len(rows)):
+        for b in range(a):
+            union = len(sets[a] | sets[b])
+            if not union or len(sets[a] & sets[b]) >= similarity * union:
+                label[max(root(a), root(b))] = min(root(a), root(b))
+    label = [root(k) for k in range(len(rows))]
+    least = defaultdict(list)
+    for k, r in zip(label, rows):
+        if r[0] is not None:
+            least[k].append(r[0])
+    return Counter((r[0], min(least[k], default=None)) for r, k in zip(rows, label)), len(set(label))
+
+
+def similar_rows():
+    """Copies with a few words changed, texts of which half is another's, short and blank texts."""
+    rng = np.random.default_rng(17)
+    draw = lambda n: [f"w{k}" for k in rng.integers(0, 3000, n)]
+    rows, shared = [], draw(60)
+    for k in range(40):
+        base = draw(int(rng.integers(80, 400)))
+        rows.append((100 * k + 7, " ".join(base)))
+        for j in range(k % 4):  # one word in a hundred: similarity about 0.9
+            copy = list(base)
+            for at in rng.choice(len(copy), max(1, len(copy) // 110), replace=False):
+                copy[at] = f"n{k}{j}{at}"
+            rows.append((100 * k + j, "  ".join(copy).upper() if j else " ".join(copy)))
+        rows.append((100 * k + 50, " ".join(base[: len(base) // 2] + draw(len(base) // 2))))
+        rows.append((100 * k + 60, " ".join(shared + draw(int(rng.integers(40, 90))))))  # a passage that many share
+    rows += [(9000, "one two three"), (9001, "One two  three"), (9002, "one two four"), (9003, None), (9004, ""), (9005, " \n"), (9006, "a " * 4000)]
+    return rows + [(None, rows[0][1]), (None, "only this one has no id"), rows[3], rows[3]]
+
+
+@pytest.mark.parametrize("bucket_rows", [None, 8])
+def test_similar_sets(spark, bucket_rows):
+    rows = similar_rows()
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = near_duplicates(df, words=5, similarity=0.8, bucket_rows=bucket_rows).collect()
+    want, classes = jaccard_brute(rows)
+    assert Counter((r.doc_id, r.component_id) for r in got) == want
+    kept = [r for r in got if r.kept]
+    assert len(kept) == classes and all(r.doc_id == r.component_id for r in kept)
+
+
+def test_similar_sets_edges(edge, edge_rows, nothing):
+    got = near_duplicates(edge, words=5, similarity=0.8).collect()
+    assert Counter((r.doc_id, r.component_id) for r in got) == jaccard_brute(edge_rows)[0]
+    assert near_duplicates(nothing, words=5, similarity=0.8).count() == 0
+
+
+def test_sketches_estimate_similarity():
+    rng = np.random.default_rng(23)
+    found, missed, wrong = 0, 0, 0
+    for _ in range(300):
+        base = [f"w{k}" for k in rng.integers(0, 10**6, 400)]
+        other = list(base)
+        for at in rng.choice(396, int(rng.integers(1, 40)), replace=False):
+            other[at] = f"n{at}"
+        a, b = " ".join(base), " ".join(other)
+        true = len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+        (_, x, keys), (_, y, others) = simhash.sketch(a.encode(), 5), simhash.sketch(b.encode(), 5)
+        differ = int(simhash.unlike(np.frombuffer(x, "<u8")[None], np.frombuffer(y, "<u8")[None])[0])
+        slow = sum((p >> s & 15) != (q >> s & 15) for p, q in zip(x, y) for s in (0, 4))
+        assert differ == slow
+        estimate = 1 - differ / 128 * 16 / 15
+        assert abs(estimate - true) < 0.2
+        alike = differ <= simhash.most_unlike(0.8) and bool(set(zip(range(8), keys)) & set(zip(range(8), others)))
+        found += true >= 0.85 and alike
+        missed += true >= 0.85 and not alike
+        wrong += true < 0.65 and alike
+    assert found > 30 and missed <= 0.05 * found and wrong <= 2
+
+
 def hot_rows():
     """Nine tenths of the rows are blank, and nine tenths of the other texts are one chain of near copies."""
     rng = np.random.default_rng(9)
@@ -145,7 +233,8 @@ def test_near_with_hot_keys(spark, monkeypatch):
     monkeypatch.setattr(simhash, "hot_join", lambda left, right, on, hot: (split.append((on, hot is not None)), join(left, right, on, hot))[1])
     rows = hot_rows()
     check_near(near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)), rows)
-    assert {on for on, found in split if found} >= {"mid", "label", "fp"}
+    assert {on for on, found in split if found} >= {"mid", "label"}
+    assert ("node", True) in split[-1:]  # the documents and their fingerprints
     star = [(7, k) for k in range(100, 400)] + [(k, k + 1) for k in range(1000, 1040)]
     split.clear()
     got = {r.node: r.label for r in components(spark.createDataFrame(star, "a bigint, b bigint")).collect()}
