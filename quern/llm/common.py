@@ -19,8 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows and bytes of an Arrow batch where the session has Spark's default. By that, ten thousand whole texts
+#: go to Python at once, and the JVM holds a few times as much outside of its heap.
+ROWS, ROWS_AT_ONCE = "10000", "1000"
+BYTES_AT_ONCE = str(4 << 20)
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once for each Spark context."""
+    """Give the executors this package, once for each Spark context, and bound the session's Arrow batches."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_AT_ONCE)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BYTES_AT_ONCE)
     sc = spark.sparkContext
     if getattr(sc, "_quern_shipped", False):
         return
