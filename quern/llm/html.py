@@ -53,8 +53,9 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"""(?<![^\s=/"'>])([^\s=/"'>]++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"']++))""")
 NAME_PART = re.compile(r"[^\W\d_]+")
+WORD = re.compile(r"\w+")
 
-PATH, WORDS, NUMBERS, HIDDEN = 256, 32, 9, 24
+PATH, WORDS, NUMBERS, HIDDEN = 384, 32, 9, 32
 INPUT = PATH + WORDS + NUMBERS
 #: Times that a place of a path vector counts at most, and open elements that its depth counts.
 MOST, DEEPEST = 2, 20
@@ -251,7 +252,7 @@ def text_vectors(page: Page, at_once: int = 4096) -> np.ndarray:
     for lo in range(0, total, at_once):
         texts = page.texts[lo : lo + at_once]
         n = len(texts)
-        words = [text.lower().split() for text in texts]
+        words = [WORD.findall(text.lower()) for text in texts]
         count = np.fromiter(map(len, words), np.int64, n)
         spots = np.fromiter(map(_words.__getitem__, chain.from_iterable(words)), np.int64, int(count.sum()))
         seen = np.bincount(np.repeat(np.arange(n) * 2 * WORDS, count) + spots, minlength=n * 2 * WORDS).reshape(n, 2, WORDS)

@@ -7,8 +7,9 @@ the labeller never sees that attribute.
 from __future__ import annotations
 
 import random
+import re
 from html import escape
-from string import punctuation
+from string import ascii_lowercase, punctuation
 
 SYLLABLES = "a an ar be ca co da de di do e el en er es fa for ge ha he i in is ka la le lo ma me mi na ne no o on or pa per po ra re ri ro sa se si so ta te ti to tra u un ur va ve vi ver wa we é ó ü ß".split()
 COMMON = "the of and to in is that for it as was with on by at from de la que el en los der die und den le les des et".split()
@@ -34,11 +35,41 @@ NAMES = {
 }
 
 
+#: Parts of names that say nothing, or little, about what an element holds.
+NEUTRAL = """site page main primary secondary top inner outer wrap wrapper container content area body block box row col grid list item
+    section module group panel region holder text title link first last left right default single view layout app root theme
+    entry post component desktop mobile fixed wide small large clearfix screen info meta""".split()
+ROLES = {"nav": "navigation", "footer": "contentinfo", "side": "complementary", "form": "search", "notice": "dialog", "header": "banner"}
+NAMED = re.compile(r' (class|id)=("[^"]*"|[^\s>]+)')
+
+
 class Maker:
     def __init__(self, seed: int):
         self.r = random.Random(seed)
+        # many pages have a language of their own, so that words count for less than the page's structure
+        letters = self.r.choice([ascii_lowercase, ascii_lowercase + "äöüßéèçñóí", "абвгдежзиклмнопрстуфхцчшыьэюя", "αβγδεζηθικλμνξοπρστυφχψω"])
+        self.own = ["".join(self.r.choices(letters, k=self.r.randint(1, 11))) for _ in range(200)] if self.r.random() < 0.5 else []
+
+    def name(self, base: str) -> str:
+        """A class name around a base: site-nav, nav__inner, page-nav-list."""
+        k, sep = self.r.random(), self.r.choice(["-", "-", "_", "__"])
+        parts = [base] if k < 0.4 else [self.r.choice(NEUTRAL), base] if k < 0.65 else [base, self.r.choice(NEUTRAL)]
+        return sep.join(parts if k < 0.9 else [self.r.choice(NEUTRAL), *parts])
+
+    def neutral(self) -> str:
+        names = [self.name(self.r.choice(NEUTRAL)) for _ in range(self.r.choice([0, 1, 1, 2, 3]))]
+        return f' {self.r.choice(["class", "class", "id"])}="{" ".join(names)}"' if names else ""
+
+    def wrapped(self, html: str) -> str:
+        """The element in up to three more, whose names say nothing."""
+        for _ in range(self.r.choice([0, 0, 0, 0, 1, 1, 2, 3])):
+            tag = self.r.choice(["div", "div", "div", "div", "section"])
+            html = f"<{tag}{self.neutral()}>{html}</{tag}>"
+        return html
 
     def word(self) -> str:
+        if self.own:
+            return self.r.choice(self.own)
         if self.r.random() < 0.35:
             return self.r.choice(COMMON)
         return "".join(self.r.choice(SYLLABLES) for _ in range(self.r.randint(1, 4)))
@@ -58,6 +89,8 @@ class Maker:
             if junk:
                 text = " ".join(self.noisy(word) for word in text.split())
             out.append(text + self.r.choice([".", ".", ".", "!", "?"]))
+        if self.r.random() < 0.05:
+            out = out[:1] * self.r.randint(2, 12)
         return " ".join(out)
 
     def noisy(self, word: str) -> str:
@@ -66,7 +99,9 @@ class Maker:
         if k < 0.4:
             at = self.r.randint(0, len(word))
             return word[:at] + escape("".join(self.r.choice(punctuation) for _ in range(self.r.randint(1, 4)))) + word[at:]
-        return word.upper() if k < 0.6 else word + str(self.r.randint(0, 9999)) if k < 0.7 else word
+        if k < 0.5:
+            return f"{word} {escape(self.r.choice(punctuation))}"
+        return word.upper() if k < 0.6 else word + str(self.r.randint(0, 9999)) if k < 0.7 else f"{word} {word} {word}" if k < 0.75 else word
 
     def prose(self) -> str:
         if self.r.random() < 0.15:
@@ -98,17 +133,24 @@ class Maker:
     def attributes(self, kind: str) -> str:
         if self.r.random() < 0.1:
             return ""
-        names = [self.r.choice(NAMES[kind])]
-        if self.r.random() < 0.3:
-            names.append(self.word())
-        return f' {self.r.choice(["class", "class", "id"])}="{" ".join(names)}"'
+        names = [self.name(self.r.choice(NAMES[kind]))]
+        for _ in range(self.r.choice([0, 0, 0, 1, 2])):
+            names.insert(self.r.randint(0, 1), self.word() if self.r.random() < 0.5 else self.name(self.r.choice(NEUTRAL)))
+        role = f' role="{ROLES[kind]}"' if kind in ROLES and self.r.random() < 0.15 else ""
+        return f' {self.r.choice(["class", "class", "id"])}="{" ".join(names)}"{role}'
 
     def links(self, cue: str) -> str:
         items = [f'<a href="/{k}">{self.words(1, 3, cue)}</a>' for k in range(self.r.randint(2, 9))]
         style = self.r.random()
         if style < 0.6:
-            return "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>"
-        return self.r.choice([" ", " | ", ""]).join(items) if style < 0.85 else "".join(f"<div>{x}</div>" for x in items)
+            own = self.neutral() if self.r.random() < 0.3 else ""
+            return f"<ul{self.neutral() if self.r.random() < 0.3 else ''}>" + "".join(f"<li{own}>{x}</li>" for x in items) + "</ul>"
+        return self.r.choice([" ", " | ", "", "<br>"]).join(items) if style < 0.85 else "".join(f"<div>{x}</div>" for x in items)
+
+    def skip(self) -> str:
+        """Links and lines of a page's own that stand alone."""
+        text = self.words(1, 4, self.r.choice(["nav", "footer", "form"]))
+        return self.r.choice([f'<a href="#x"{self.neutral()}>{text}</a>', f"<div{self.attributes('header')}>{text}</div>", f"<button{self.neutral()}>{text}</button>"])
 
     def nav(self) -> str:
         tag = self.r.choice(["nav", "nav", "div", "ul"])
@@ -116,15 +158,18 @@ class Maker:
 
     def header(self) -> str:
         inner = self.r.choice([f"<h1>{self.words(1, 4)}</h1>", f"<div>{self.words(1, 5)}</div>", f"<p>{self.words(2, 8)}</p>", f'<a href="/">{self.words(1, 3)}</a>'])
+        if self.r.random() < 0.4:
+            inner = f'<{self.r.choice(["p", "div", "h1", "span"])}{self.neutral()}><a href="/">{self.words(1, 3)}</a></{self.r.choice(["p", "div"])}><p{self.neutral()}>{self.words(2, 7)}</p>'
         tag = self.r.choice(["header", "header", "div"])
         return f"<{tag}{self.attributes('header')}>{inner}{self.nav() if self.r.random() < 0.4 else ''}</{tag}>"
 
     def ad(self) -> str:
         text = self.sentences(1, 3, "ad") if self.r.random() < 0.75 else f'<a href="/x">{self.words(2, 8, "ad")}</a>'
+        text = self.words(1, 2, "ad") if self.r.random() < 0.15 else text
         tag = self.r.choice(["div", "div", "div", "aside", "section", "p"])
-        if tag != "p" and self.r.random() < 0.3:
-            text = f"<p>{text}</p>"
-        return f'<{tag} class="{self.r.choice(NAMES["ad"])}">{text}</{tag}>'
+        if tag != "p" and self.r.random() < 0.4:
+            text = f"<p>{text}</p>" if self.r.random() < 0.7 else f"<span>{text}</span>"
+        return f'<{tag} class="{self.name(self.r.choice(NAMES["ad"]))}">{text}</{tag}>'
 
     def notice(self) -> str:
         button = f"<button>{self.words(1, 2, 'notice')}</button>" if self.r.random() < 0.5 else ""
@@ -132,7 +177,7 @@ class Maker:
         tag = self.r.choice(["div", "div", "section", "aside", "dialog"])
         if self.r.random() < 0.5:
             text = f"<p>{text}</p>"
-        return f'<{tag} {self.r.choice(["class", "id"])}="{self.r.choice(NAMES["notice"])}">{text}{button}</{tag}>'
+        return f'<{tag} {self.r.choice(["class", "id"])}="{self.name(self.r.choice(NAMES["notice"]))}">{text}{button}</{tag}>'
 
     def form(self) -> str:
         text = self.words(1, 12, "form")
@@ -146,10 +191,10 @@ class Maker:
         )
         tag = self.r.choice(["aside", "aside", "div", "section"])
         bare = tag == "aside" and self.r.random() < 0.5
-        return f"<{tag}{'' if bare else f' class={chr(34)}{self.r.choice(NAMES["side"])}{chr(34)}'}>{body}</{tag}>"
+        return f"<{tag}{'' if bare else f' class={chr(34)}{self.name(self.r.choice(NAMES["side"]))}{chr(34)}'}>{body}</{tag}>"
 
     def comments(self) -> str:
-        name = self.r.choice(NAMES["comment"])
+        name = self.name(self.r.choice(NAMES["comment"]))
         inner = self.r.choice(["li", "div", "article", "p", "blockquote"])
         items = []
         for _ in range(self.r.randint(1, 6)):
@@ -158,7 +203,7 @@ class Maker:
             items.append(f"<{inner}{' class=comment' if self.r.random() < 0.6 else ''}>{who}{text if inner == 'p' or self.r.random() < 0.4 else f'<p>{text}</p>'}</{inner}>")
         outer = self.r.choice(["section", "div", "div", "ol" if inner == "li" else "aside"])
         head = f"<h{self.r.randint(2, 4)}>{self.words(1, 3, 'comment')}</h3>" if self.r.random() < 0.6 else ""
-        return f'<{outer} {self.r.choice(["class", "id"])}="{name}" data-main="0">{head}{"".join(items)}</{outer}>'
+        return f'<{outer} {self.r.choice(["class", "id"])}="{name}" data-main="0">{head}{self.wrapped("".join(items)) if outer != "ol" else "".join(items)}{self.form() if self.r.random() < 0.2 else ""}</{outer}>'
 
     def footer(self) -> str:
         inner = self.r.choice([self.words(2, 10, "footer"), f"<p>{self.sentences(1, 2, 'footer')}</p>", self.links("footer"), f"&copy; {self.word()} &middot; {self.sentences(1, 2)}"])
@@ -198,27 +243,56 @@ class Maker:
             at = extra.index(">")
             extra = extra if "data-main" in extra[:at] else f'{extra[:at]} data-main="0"{extra[at:]}'
             parts.insert(self.r.randint(0, len(parts)), extra)
-        body, k = title + "".join(parts), self.r.random()
+        text = "".join(parts)
+        body, k = title + (self.wrapped(text) if self.r.random() < 0.5 else text), self.r.random()
+        role = ' role="main"' if self.r.random() < 0.1 else ""
         if k < 0.5:
-            out = f'<article data-main="1">{body}</article>'
+            out = f'<article data-main="1"{role}{self.neutral() if self.r.random() < 0.5 else ""}>{self.wrapped(body)}</article>'
             return f"<main>{out}</main>" if self.r.random() < 0.3 else out
         if k < 0.65:
-            return f'<main data-main="1">{body}</main>'
+            return f'<main data-main="1"{role}{self.neutral() if self.r.random() < 0.5 else ""}>{self.wrapped(body)}</main>'
         tag = self.r.choice(["div", "div", "section"])
-        return f'<{tag} {self.r.choice(["class", "id"])}="{self.r.choice(MAIN_NAMES)}" data-main="1">{body}</{tag}>'
+        body = self.wrapped(body)
+        own, other = self.r.sample(["class", "id"], 2)
+        more = f' {other}="{self.name(self.r.choice([*NEUTRAL, self.word()]))}"' if self.r.random() < 0.4 else ""
+        return f'<{tag} {own}="{self.name(self.r.choice(MAIN_NAMES))}"{more}{role} data-main="1">{body}</{tag}>'
+
+    def table_page(self, before: list[str], main: str, after: list[str]) -> str:
+        """A page laid out in a table: a banner, a column beside the text, and what stands below."""
+        side, width = self.r.choice(before or [""]), self.r.randint(90, 200)
+        head = f"<tr><td colspan=2>{self.r.choice([self.header(), self.words(1, 4), f'<font size=5>{self.words(1, 4)}</font>'])}</td></tr>"
+        cells = [f"<td width={width} valign=top>{side or self.links('nav')}</td>", f"<td valign=top>{main}</td>"]
+        foot = "".join(f"<tr><td colspan=2>{part}</td></tr>" for part in after) or f"<tr><td>{self.words(2, 9, 'footer')}</td></tr>"
+        return f"<table width=100%>{head if self.r.random() < 0.8 else ''}<tr>{''.join(cells if self.r.random() < 0.8 else cells[::-1])}</tr>{foot}</table>"
+
+    def unnamed(self, html: str) -> str:
+        """The page with names that say nothing in place of all classes and ids."""
+        made: dict[str, str] = {}
+        return NAMED.sub(lambda m: f" {m[1]}=" + made.setdefault(m[2], "".join(self.r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=self.r.randint(2, 6)))), html)
 
     def page(self) -> str:
         r = self.r
-        before = [f() for f, p in ((self.notice, 0.15), (self.header, 0.4), (self.nav, 0.75), (self.form, 0.15), (self.ad, 0.4), (self.side, 0.15)) if r.random() < p]
-        after = [f() for f, p in ((self.comments, 0.3), (self.ad, 0.2), (self.side, 0.3), (self.form, 0.15), (self.nav, 0.1), (self.footer, 0.75), (self.notice, 0.15)) if r.random() < p]
+        unnamed = r.random() < 0.05  # nothing tells comments from text there, so there are none
+        before = [f() for f, p in ((self.skip, 0.15), (self.notice, 0.15), (self.header, 0.45), (self.nav, 0.75), (self.form, 0.15), (self.ad, 0.4), (self.side, 0.15)) if r.random() < p]
+        after = [f() for f, p in ((self.comments, 0 if unnamed else 0.3), (self.ad, 0.2), (self.side, 0.3), (self.form, 0.15), (self.nav, 0.15), (self.footer, 0.75), (self.notice, 0.1), (self.skip, 0.1)) if r.random() < p]
         if r.random() < 0.3:
             r.shuffle(before)
         main = self.main() if r.random() > 0.03 else ""
-        inner = "".join([*before, main, *after])
-        if r.random() < 0.3:
-            inner = f'<div {r.choice(["class", "id"])}="{r.choice(["wrapper", "container", "page", "site", self.word()])}">{inner}</div>'
+        if r.random() < 0.06:
+            inner = self.table_page(before, main, after)
+        else:
+            cut = r.randint(0, len(after)) if r.random() < 0.3 else 0  # some stand in one element with the text
+            middle = "".join(map(self.wrapped, [main, *after[:cut]]))
+            if cut or r.random() < 0.2:
+                tag = r.choice(["div", "div", "main", "section"])
+                middle = f"<{tag}{self.neutral()}>{middle}</{tag}>"
+            parts = [*map(self.wrapped, before), middle, *map(self.wrapped, after[cut:])]
+            inner = "".join(parts if r.random() > 0.08 else [*parts[len(before) :], *parts[: len(before)]])  # some have the text first
+        if r.random() < 0.4:
+            inner = f"<div{self.neutral()}>{inner}</div>"
         end = "</body></html>" if r.random() < 0.8 else ""
-        return f"<!DOCTYPE html><html><head><title>{self.words(1, 10)}</title>{self.style()}</head><body>{inner}{end}"
+        body = f"<body{self.neutral() if r.random() < 0.4 else ''}>{inner}"
+        return f"<!DOCTYPE html><html><head><title>{self.words(1, 10)}</title>{self.style()}</head>{self.unnamed(body) if unnamed else body}{end}"
 
 
 def training_pages(n: int, seed: int = 3) -> list[str]:

@@ -11,7 +11,7 @@ from quern.llm.html import INPUT, WEIGHTS, Labeller, blocks, is_marked, vectors
 from quern.llm.html_pages import training_pages
 
 #: Pages that the labeller is trained on.
-TRAIN_PAGES = 4000
+TRAIN_PAGES = 16_000
 
 
 def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -22,7 +22,7 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, live
 
 
-def fit(pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 8, batch: int = 32, rate: float = 0.01, seed: int = 5) -> Labeller:
+def fit(pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 10, batch: int = 32, rate: float = 0.01, seed: int = 5) -> Labeller:
     """Train on pages of block vectors and their labels, with Adam steps over pages of like length."""
     net, rng = Labeller(), np.random.default_rng(seed)
     first, second = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2))
@@ -43,7 +43,7 @@ def fit(pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 8, batc
                 first[name] = 0.9 * first[name] + 0.1 * v
                 second[name] = 0.99 * second[name] + 0.01 * v * v
                 by = (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-8)
-                net.p[name] = (net.p[name] - rate * 0.65**epoch * by).astype(np.float32)
+                net.p[name] = (net.p[name] - rate * 0.7**epoch * by).astype(np.float32)
     return net
 
 
