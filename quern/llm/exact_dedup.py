@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import byte_rows, row_numbers, ship, spread, stored
+from quern.llm.common import byte_rows, forget, row_numbers, ship, spread, stored
 
 SPACE = b" \t\n\x0b\x0c\r"
 #: Counters of each summary. A digest is frequent from 2n / COUNTERS rows, and from LEAST rows.
@@ -117,6 +117,7 @@ def exact_dedup(
         .select("sha", F.col("best.c").alias("keep_id"), F.col("best.d").alias("keep_row"), "group_size"),
         "frequent",
     )
+    forget(summary)
     all_of = Window.partitionBy("sha")
     here = rows.join(F.broadcast(heavy), "sha").select("id", "sha", "keep_id", (F.col("row") == F.col("keep_row")).alias("kept"), "group_size", *own)
     moved = (

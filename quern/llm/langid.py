@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import LETTER, ship, spread, stored
+from quern.llm.common import LETTER, forget, ship, spread, stored
 
 #: Labelled rows of each language that a model is fitted on at most (about; chosen by a hash of the id).
 TRAIN_ROWS = 1000
@@ -180,6 +180,7 @@ def fit_languages(df: DataFrame, id_col: str, text_col: str, lang_col: str, trai
     for k, row in enumerate(train["x"]):
         x[k] = np.frombuffer(row.as_buffer(), np.float16)
     del train
+    forget(counts, sample)
     return CodeClassifier(x, y, languages)
 
 

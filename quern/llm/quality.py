@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import ship, spread, stored
+from quern.llm.common import forget, ship, spread, stored
 
 #: Labelled rows that a model is fitted on at most (about; rows are chosen by a hash of their id).
 TRAIN_ROWS = 20_000
@@ -102,7 +102,7 @@ def statistics(text: str) -> list[float]:
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [np.array(statistics(value.as_py() or ""), np.float32).tobytes() for value in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.binary())], [*batch.schema.names, "x"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.binary())], ["id", "y", "x"])
 
 
 class BoostedTrees:
@@ -201,8 +201,9 @@ def fit_quality(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
     kind = df.schema[id_col].dataType.simpleString()
     # at most 2 * train_rows ids and labels are broadcast, so that no text is shuffled
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
-    measured = stored(spread(texts).mapInArrow(_measure, f"id {kind}, text string, y int, x binary").select("id", "y", "x"), "statistics")
+    measured = stored(spread(texts).select("id", "text", "y").mapInArrow(_measure, f"id {kind}, y int, x binary"), "statistics")
     sample = measured.groupBy("id").agg(F.min("x").alias("x"), F.first("y").alias("y")).orderBy("id").toPandas()
+    forget(measured)
     return BoostedTrees(_matrix([np.frombuffer(x, np.float32) for x in sample["x"]]), sample["y"].to_numpy(np.float64))
 
 
