@@ -256,6 +256,22 @@ def test_hot_join(spark, monkeypatch):
     assert common.hot_keys(right, "x") is None
 
 
+def test_batches_are_bounded(spark):
+    from quern.llm import common
+
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(rows)
+    try:
+        spark.conf.set(rows, "10000")
+        common.ship(spark)
+        assert (spark.conf.get(rows), spark.conf.get(size)) == ("1000", str(4 << 20))
+        spark.conf.set(rows, "77")  # a session's own setting stays
+        common.ship(spark)
+        assert spark.conf.get(rows) == "77"
+    finally:
+        spark.conf.set(rows, before)
+
+
 def test_scratch_needs_a_shared_folder():
     from quern.llm import common
 
