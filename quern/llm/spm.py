@@ -91,6 +91,7 @@ class MergeModel:
         if SPACE not in self.score or len(of_runs) > 1 or of_runs and ranked and max(of_runs) >= min(ranked):
             raise ValueError("pieces of space marks must score alike and least")
         self.text = ["" if kind == CONTROL else " ⁇ " if kind == UNKNOWN else text.replace(SPACE, " ") for text, _, kind in pieces]
+        self.number = [str(k) for k in range(len(pieces))]
         self.spines = {text: self._spines(text) for text in self.score if not text.startswith(SPACE * 2)}
         self.spines = {text: found for text, found in self.spines.items() if found}
         self.pair_spines = {self.id[text]: found for text, found in self.spines.items()}
@@ -213,8 +214,8 @@ class MergeModel:
         """Joined ids of a chunk, or of the characters after a single mark, and what they decode to.
 
         A chunk's first id is a piece of text, so no bytes are decoded together over two chunks."""
-        ids = self.chunk(part if part.startswith(SPACE) else SPACE + part)
-        return ",".join(map(str, ids)), self.decode_part(ids)
+        ids = self.chunk(part) if part.startswith(SPACE) else self.split(SPACE + part)
+        return ",".join([self.number[k] for k in ids]), self.decode_part(ids)
 
     def chunks(self, text: str) -> list[str]:
         """A text cut before each run of space marks; nothing merges over these cuts."""
@@ -255,9 +256,9 @@ class MergeModel:
             parts = self.chunks(text)
         else:
             parts = text.split(" ")
-        ids, decoded = zip(*map(self.word.__getitem__, parts))
-        joined = ",".join(ids)
-        return joined.count(",") + 1, _sha(joined), _sha("".join(decoded)[1:])
+        pairs = list(map(self.word.__getitem__, parts))
+        joined = ",".join([ids for ids, _ in pairs])
+        return joined.count(",") + 1, _sha(joined), _sha("".join([decoded for _, decoded in pairs])[1:])
 
 
 def _sha(text: str) -> str:
