@@ -8,6 +8,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,25 @@ def ship(spark: SparkSession) -> None:
     sc._quern_shipped = True
 
 
+#: Rows that Spark's default lets its Parquet reader decode at once, and those that do for whole texts.
+READ, READ_AT_ONCE = "4096", "128"
+
+
+@contextmanager
+def few_rows_read_at_once(spark: SparkSession) -> Iterator[None]:
+    """For jobs run meanwhile that shuffle texts straight from Parquet: by Spark's default, thousands of whole texts are
+    decoded into one array, which doubles until they fit, and executors' heaps grow by such arrays and keep the memory."""
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    if spark.conf.get(name) != READ:
+        yield
+        return
+    spark.conf.set(name, READ_AT_ONCE)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder that spark.checkpoint.dir names; it goes when the driver ends.
 
@@ -60,11 +80,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df to the shared folder and read it again: later jobs start from files, so a lost
-    executor costs no recomputation, and the plan behind df runs once."""
+    executor costs no recomputation, and the plan behind df runs once. options: of the Parquet writer."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out

@@ -21,12 +21,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.bytebpe import VOCABULARY, encode
-from quern.llm.common import parts, ranges, ship, stored
+from quern.llm.common import few_rows_read_at_once, parts, ranges, ship, stored
 
 MAGIC, TERMINALS, SYMBOLS = b"RPG1", 50257, 1 << 16
 BLOCK, LEAST, END = 1 << 20, 32, 2
 #: Slots (a power of two) of the table in which a round looks up its pairs; colliding pairs wait.
 SLOT_BITS = 16
+#: Bytes after which a row group of the block files ends. By Parquet's defaults sizes are looked at after 100 rows only:
+#: up to 100 blocks of megabytes would make one page, which is held, compressed and read as a whole.
+GROUP_BYTES = 4 << 20
+PAGES = {
+    "parquet.block.size": str(GROUP_BYTES),
+    "parquet.page.size.row.check.min": "1",
+    "parquet.page.size.row.check.max": "1",
+    "parquet.page.size.check.estimate": "false",
+    "parquet.enable.dictionary": "false",
+}
 
 
 def _slot(code: np.ndarray) -> np.ndarray:
@@ -200,7 +210,8 @@ def write_ids(
     # the range keys that Spark samples for the driver are ids alone; equal ids share a partition
     ordered = narrow.repartitionByRange(*parts(narrow), "id").sortWithinPartitions("id", "text")
     schema = f"part long, start long, n_ids long, doc_ids array<{kind}>, block binary"
-    return stored(ordered.mapInArrow(_write(path, end, block), schema), "blocks")
+    with few_rows_read_at_once(df.sparkSession):
+        return stored(ordered.mapInArrow(_write(path, end, block), schema), "blocks", **PAGES)
 
 
 def _read(base: dict[int, int]):

@@ -4,14 +4,17 @@ import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
+from urllib.parse import unquote, urlparse
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 
+from quern.llm import repair
 from quern.llm.bytebpe import encode
 from quern.llm.packing import pack_documents, place_lengths, slots
-from quern.llm.repair import LEAST, TERMINALS, Block, compress, read_ids, write_ids
+from quern.llm.repair import GROUP_BYTES, LEAST, TERMINALS, Block, compress, read_ids, write_ids
 from quern.llm.spm import BYTE, MODEL, NORMAL, model, read_model, sentencepiece_digests, sentencepiece_ids
 from quern.llm.token_count import UnigramCounter, counter, token_counts
 
@@ -139,6 +142,31 @@ def test_id_files(edge, edge_rows, nothing):
     assert read_ids(write_ids(nothing)).count() == 0
 
 
+def test_block_files_hold_few_blocks_in_a_row_group(spark):
+    r = random.Random(13)
+    rows = [(7, "")] + [(7, "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=800_000))) for _ in range(14)]  # one id: one file
+    files = write_ids(spark.createDataFrame(rows, "doc_id long, text string"), block=100_000)
+    groups = [(g.total_byte_size, g.num_rows) for p in files.inputFiles() for m in [pq.read_metadata(unquote(urlparse(p).path))] for g in map(m.row_group, range(m.num_row_groups))]
+    assert sum(n for _, n in groups) == len(rows) and sum(size for size, _ in groups) > 2 * GROUP_BYTES
+    assert max(size for size, _ in groups) < 1.5 * GROUP_BYTES
+    got = sorted((x.start, x.n_tokens, x.ids_crc32) for x in read_ids(files).collect())
+    ids = [np.append(encode(text), 2).astype("<u4") for _, text in sorted(rows)]
+    assert got == [(int(at), len(x), zlib.crc32(x.tobytes())) for at, x in zip(np.cumsum([0, *map(len, ids)]), ids)]
+
+
+def test_few_texts_are_decoded_at_once_while_ids_are_written(spark, edge, monkeypatch):
+    name, seen = "spark.sql.parquet.columnarReaderBatchSize", []
+    monkeypatch.setattr(repair, "stored", lambda df, *_, **__: seen.append(spark.conf.get(name)))
+    write_ids(edge)
+    assert seen == ["128"] and spark.conf.get(name) == "4096"
+    spark.conf.set(name, "1000")  # a setting of the session's own stays
+    try:
+        write_ids(edge)
+        assert seen[1:] == ["1000"] and spark.conf.get(name) == "1000"
+    finally:
+        spark.conf.unset(name)
+
+
 def test_grammar_round_trip():
     rng = np.random.default_rng(8)
     for alphabet in (1, 2, 5, TERMINALS):
